@@ -52,7 +52,15 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_substring_dedup, op3_simhash_dedup, op6_decontaminate, op7_bpe, op8_sharding)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fold, score_toxicity, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = score_toxicity(docs, train(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_substring_dedup, op3_simhash_dedup, op6_decontaminate, op7_bpe, op8_sharding, op10_toxicity)}
 
 #: Words of documents with their positions, as op1 counts them.
 _OP1 = r"""
