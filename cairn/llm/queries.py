@@ -21,6 +21,12 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op2_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .knn import voronoi_knn
+
+    return voronoi_knn(table(spark, sf_dir, "embeddings"), lambda i: i % 100 == 0)
+
+
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash_dedup import simhash_components
 
@@ -28,6 +34,31 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import held_out, identify, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    profiles = train(docs.where(~held_out()))
+    return identify(docs.select("doc_id", "text"), profiles).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op5_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An archive of all pages, audited against a replica in which some records were changed and some lost."""
+    from .common import checkpointed
+    from .warc_fixity import audit, record_text, records
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    archive = checkpointed(records(pages))
+    changed = pages.withColumn("html", F.when(F.col("page_id") % 61 == 7, F.reverse("html")).otherwise(F.col("html")))
+    kept = changed.where(F.coalesce(F.col("page_id") % 97 != 11, F.lit(True)))
+    text = record_text(F.col("page_id"), F.col("url"), F.col("html"))
+    copies = kept.select("page_id", F.sha2(text, 256).alias("digest"), F.octet_length(text).cast("long").alias("length"))
+    places = archive.select("page_id", "file", "offset")
+    replica = checkpointed(copies.join(places, "page_id").select("file", "offset", "length", "digest"))
+    found = audit(archive, replica)
+    return archive.join(found, ["file", "offset"], "left").select("page_id", F.col("length").alias("n_bytes"), F.col("digest").alias("sha256"), F.coalesce("status", F.lit("intact")).alias("status"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contamination
 
@@ -52,6 +83,13 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extract_main_text
+
+    out = extract_main_text(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import fold, score_toxicity, train
 
@@ -60,7 +98,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_substring_dedup, op3_simhash_dedup, op6_decontaminate, op7_bpe, op8_sharding, op10_toxicity)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_substring_dedup, op2_voronoi_knn, op3_simhash_dedup, op4_language_id, op5_warc_fixity, op6_decontaminate, op7_bpe, op8_sharding, op9_html_extract, op10_toxicity)}
 
 #: Words of documents with their positions, as op1 counts them.
 _OP1 = r"""
@@ -87,4 +125,18 @@ SELECT docs.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) A
 FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-SQL: dict[str, str] = {"op1_substring_dedup": _OP1, "op6_decontaminate": _OP6}
+_OP2 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
+"""
+
+_OP5 = """
+WITH r AS (SELECT DISTINCT page_id, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10)
+    || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10)
+    || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS t FROM pages)
+SELECT page_id, CAST(strlen(t) AS BIGINT) AS n_bytes, sha256(t) AS sha256, CASE WHEN page_id % 97 = 11 THEN 'missing' WHEN page_id % 61 = 7 THEN 'corrupt' ELSE 'intact' END AS status FROM r
+"""
+
+SQL: dict[str, str] = {"op1_substring_dedup": _OP1, "op2_voronoi_knn": _OP2, "op5_warc_fixity": _OP5, "op6_decontaminate": _OP6}
