@@ -76,10 +76,13 @@ def quoted(path: Column) -> Column:
 
 
 def above_prefix(prefix: str) -> str:
-    """A string behind which, in byte order, every key with the prefix stands, and hardly any other: an exclusive lower bound."""
-    raw = prefix.encode()
-    if not raw:
+    """An exclusive lower bound for the keys with a prefix: what stands before them, and behind hardly any other key.
+
+    Order of code points is order of UTF-8 bytes, so the last character is lowered by one and followed by the largest.
+    """
+    if not prefix:
         return ""
-    if raw[-1] == 0:
-        return raw[:-1].decode("utf-8", "ignore")
-    return (raw[:-1] + bytes([raw[-1] - 1])).decode("latin-1") + "\U0010ffff" * 256
+    last = ord(prefix[-1]) - 1
+    if last < 0:
+        return prefix[:-1]
+    return prefix[:-1] + chr(0xD7FF if 0xD800 <= last <= 0xDFFF else last) + "\U0010ffff" * 256

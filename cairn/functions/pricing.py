@@ -10,10 +10,16 @@ from ..schema import BASE_REGION, CLASSES, LIST_DEFAULT, LIST_PRICES, STORAGE_PR
 GIB = float(1 << 30)
 
 
+def prices_of(region: str) -> dict[int, float]:
+    """Price by class code, of the classes that cost something: the region's, else the base region's."""
+    prices = STORAGE_PRICES[BASE_REGION] | STORAGE_PRICES.get(region, {})
+    return {i: prices[n] for i, n in enumerate(CLASSES) if n in prices}
+
+
 def storage_prices(spark: SparkSession, region: str) -> DataFrame:
     """(class, per_gib): the region's price, else that of the base region, else 0, for each of the classes."""
-    own, base = STORAGE_PRICES.get(region, {}), STORAGE_PRICES[BASE_REGION]
-    return spark.createDataFrame([(i, own.get(n, base.get(n, 0.0))) for i, n in enumerate(CLASSES)], "class int, per_gib double")
+    per = prices_of(region)
+    return spark.createDataFrame([(i, per.get(i, 0.0)) for i in range(len(CLASSES))], "class int, per_gib double")
 
 
 def storage_price_table(spark: SparkSession) -> DataFrame:

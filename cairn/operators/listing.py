@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.classes import class_name
 from ..functions.keys import check_prefix, entry_name, has_delimiter, rest_of
-from ..functions.pricing import with_cost
+from ..functions.pricing import monthly, prices_of
 from ..functions.text import bar_cells, human_bytes, human_dollars, share_text
 
 #: What a listing can be sorted by, and whether the largest come first unless asked otherwise.
@@ -47,11 +47,15 @@ def list_rollup(rolled: DataFrame, prefix: str = "") -> DataFrame:
 
 
 def with_entry_cost(objects: DataFrame, prefix: str, region: str) -> DataFrame:
-    """list_directory with cost, in dollars a month. One shuffle by entry: class sums become the entry's struct."""
-    by_class = entries_by_class(objects, prefix)
-    cost = with_cost(by_class, region, ["name", "is_dir"])
-    whole = by_class.groupBy("name", "is_dir").agg(F.max("class").alias("c"), F.sum("objects").alias("objects"), F.sum("bytes").alias("bytes"))
-    return whole.join(cost, ["name", "is_dir"]).select("name", "is_dir", F.when(~F.col("is_dir"), F.col("c")).alias("class"), "objects", "bytes", "cost")
+    """list_directory with cost, in dollars a month.
+
+    One aggregation: classes and prices are constants, so each class has its own whole sum and no join is needed.
+    """
+    per = prices_of(region)
+    in_class = [F.sum(F.when(F.col("class") == i, F.col("size")).otherwise(0)).alias(f"b{i}") for i in per]
+    whole = _named(objects, prefix).groupBy("name", "is_dir").agg(F.max("class").alias("c"), F.count("*").alias("objects"), F.sum("size").cast("long").alias("bytes"), *in_class)
+    cost = sum((monthly(F.col(f"b{i}"), F.lit(p)) for i, p in per.items()), F.lit(0.0))
+    return whole.select("name", "is_dir", F.when(~F.col("is_dir"), F.col("c")).alias("class"), "objects", "bytes", F.round(cost, 6).alias("cost"))
 
 
 def sort_keys(by: str, descending: bool | None = None, dirs_first: bool = False) -> list[Column]:
@@ -78,19 +82,21 @@ def top_entries(entries: DataFrame, n: int, by: str = "size") -> DataFrame:
 
 
 def with_share(entries: DataFrame) -> DataFrame:
-    """entries with share (0 to 1, null without bytes), its text and the cells of its bar. The total is one row, joined to all."""
-    total = entries.agg(F.sum("bytes").cast("long").alias("total")).withColumn("one", F.lit(1))
-    held = entries.withColumn("one", F.lit(1)).join(F.broadcast(total), "one")  # one row by construction
+    """entries with share (0 to 1, null without bytes), its text and the cells of its bar. The total is a scalar subquery."""
+    t = F.coalesce(entries.agg(F.sum("bytes").cast("long")).scalar(), F.lit(0).cast("long"))
+    held = entries.withColumn("total", t)
     t = F.col("total")
-    return held.withColumn("share", F.when(t > 0, F.round(F.col("bytes") / F.when(t > 0, t), 9))).withColumn("share_text", share_text(F.col("bytes"), t)).withColumn("cells", bar_cells(F.col("bytes"), t)).drop("total", "one")
+    return held.withColumn("share", F.when(t > 0, F.round(F.col("bytes") / F.when(t > 0, t), 9))).withColumn("share_text", share_text(F.col("bytes"), t)).withColumn("cells", bar_cells(F.col("bytes"), t)).drop("total")
 
 
 def listing_totals(objects: DataFrame, prefix: str, region: str) -> DataFrame:
     """One row: objects, bytes and cost of a listing."""
-    by_class = below(objects, check_prefix(prefix)).groupBy("class").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).withColumn("one", F.lit(1))
-    cost = with_cost(by_class, region, ["one"])
-    sums = by_class.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("objects"), F.coalesce(F.sum("bytes"), F.lit(0)).cast("long").alias("bytes"), F.lit(1).alias("one"))
-    return sums.join(F.broadcast(cost), "one", "left").select("objects", "bytes", F.coalesce("cost", F.lit(0.0)).alias("cost"))
+    per = prices_of(region)
+    zero = F.lit(0).cast("long")
+    in_class = [F.coalesce(F.sum(F.when(F.col("class") == i, F.col("size"))), zero).alias(f"b{i}") for i in per]
+    sums = below(objects, check_prefix(prefix)).agg(F.count("*").alias("objects"), F.coalesce(F.sum("size"), zero).cast("long").alias("bytes"), *in_class)
+    cost = sum((monthly(F.col(f"b{i}"), F.lit(p)) for i, p in per.items()), F.lit(0.0))
+    return sums.select("objects", "bytes", F.round(cost, 6).alias("cost"))
 
 
 def dominant_class(objects: DataFrame, prefix: str) -> DataFrame:

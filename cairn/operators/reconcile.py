@@ -176,10 +176,17 @@ THROTTLES = ("SlowDown", "Throttling", "ThrottlingException", "RequestLimitExcee
 
 def delete_outcome(batch: DataFrame, errors: DataFrame) -> DataFrame:
     """One row of a delete call's result: rows (key, size) that were sent and errors (key, code) that came back."""
-    failed = errors.join(batch, "key", "left")
-    bad = failed.agg(F.count("*").alias("errors"), F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("failed_bytes"), F.coalesce(F.sum(F.col("code").isin(*THROTTLES).cast("long")), F.lit(0)).alias("throttled"), F.lit(1).alias("one"))
-    sent = batch.agg(F.count("*").alias("sent"), F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("bytes"), F.lit(1).alias("one"))
-    return sent.join(F.broadcast(bad), "one").select((F.col("sent") - F.col("errors")).alias("deleted"), (F.col("bytes") - F.col("failed_bytes")).alias("bytes"), "errors", "throttled")
+    zero = F.lit(0).cast("long")
+    sent = batch.select("key", "size", F.lit(1).alias("sent"))
+    back = errors.select("key", F.col("code").isin(*THROTTLES).cast("int").alias("slow"))
+    both = sent.join(back, "key", "full_outer")  # an error may name a key that was not sent
+    failed = F.col("slow").isNotNull()
+    return both.agg(
+        F.sum(F.coalesce("sent", F.lit(0)) - failed.cast("int")).cast("long").alias("deleted"),
+        F.coalesce(F.sum(F.when(failed, 0).otherwise(F.col("size"))), zero).cast("long").alias("bytes"),
+        F.sum(failed.cast("long")).alias("errors"),
+        F.coalesce(F.sum("slow"), zero).cast("long").alias("throttled"),
+    )
 
 
 def fan_out(objects: DataFrame, root: str, max_depth: int = 3, min_prefixes: int = 8) -> DataFrame:

@@ -78,13 +78,19 @@ def directories(objects: DataFrame) -> DataFrame:
 
 
 def entry_counts(objects: DataFrame) -> DataFrame:
-    """(prefix, depth, dirs, files, entries) of each directory: its listing's size."""
-    files = objects.groupBy(directory_of(F.col("key")).alias("prefix")).agg(F.count("*").alias("files"))
-    dirs = directories(objects)
-    below = dirs.where("prefix <> ''").groupBy(parent_of(F.col("prefix")).alias("prefix")).agg(F.count("*").alias("dirs"))
-    zero = F.lit(0)
-    both = dirs.join(files, "prefix", "left").join(below, "prefix", "left").select("prefix", depth(F.col("prefix")).alias("depth"), F.coalesce("dirs", zero).alias("dirs"), F.coalesce("files", zero).alias("files"))
-    return both.withColumn("entries", F.col("dirs") + F.col("files"))
+    """(prefix, depth, dirs, files, entries, objects) of each directory: what its listing shows, and all that lies below.
+
+    One pass over the objects; then sums by directory go to all above, and each directory counts one for its parent.
+    """
+    own = objects.groupBy(directory_of(F.col("key")).alias("dir")).agg(F.count("*").alias("n"))
+    spread = own.select("dir", "n", F.explode(ancestors(F.col("dir"))).alias("prefix"))
+    held = spread.groupBy("prefix").agg(F.sum("n").alias("objects"), F.sum(F.when(F.col("dir") == F.col("prefix"), F.col("n")).otherwise(0)).alias("files"))
+    zero = F.lit(0).cast("long")
+    self_row = F.struct("prefix", "files", "objects", zero.alias("dirs"))
+    for_parent = F.struct(parent_of(F.col("prefix")).alias("prefix"), zero.alias("files"), zero.alias("objects"), F.lit(1).cast("long").alias("dirs"))
+    rows = held.select(F.explode(F.array(self_row, for_parent)).alias("r")).select("r.*").where("prefix is not null")
+    sums = rows.groupBy("prefix").agg(F.sum("dirs").alias("dirs"), F.sum("files").alias("files"), F.sum("objects").alias("objects"))
+    return sums.select("prefix", depth(F.col("prefix")).alias("depth"), "dirs", "files", (F.col("dirs") + F.col("files")).alias("entries"), "objects")
 
 
 def structure(objects: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.paging import positions
-from ..operators.rollup import entry_counts, rollup
+from ..operators.rollup import entry_counts
 from ..schema import PAGE
 
 DEPTH = 8
@@ -29,11 +29,15 @@ def work_items(objects: DataFrame, strategy: str, max_depth: int = DEPTH, k: int
     limit = {"s2-probe-root": 1, "s3-current": max_depth if max_depth >= 1 else DEPTH, "s4-worksteal": None}[strategy]
     depth = F.col("depth")
     listings = entry_counts(objects)
-    probes = (listings if limit is None else listings.where(depth < limit)).select("prefix", F.lit("probe").alias("kind"), _pages(F.col("entries"), k).alias("requests"), F.col("files").alias("contents"), F.col("dirs").alias("prefixes"))
     if limit is None:
-        return probes
-    held = rollup(objects).where(depth == limit).groupBy("prefix").agg(F.sum("objects").alias("n"))
-    return probes.unionByName(held.select("prefix", F.lit("list").alias("kind"), _pages(F.col("n"), k).alias("requests"), F.col("n").alias("contents"), F.lit(0).cast("long").alias("prefixes")))
+        return listings.select("prefix", F.lit("probe").alias("kind"), _pages(F.col("entries"), k).alias("requests"), F.col("files").alias("contents"), F.col("dirs").alias("prefixes"))
+    return listings.where(depth <= limit).select(
+        "prefix",
+        F.when(depth < limit, "probe").otherwise("list").alias("kind"),
+        _pages(F.when(depth < limit, F.col("entries")).otherwise(F.col("objects")), k).alias("requests"),
+        F.when(depth < limit, F.col("files")).otherwise(F.col("objects")).alias("contents"),
+        F.when(depth < limit, F.col("dirs")).otherwise(F.lit(0)).alias("prefixes"),
+    )
 
 
 def simulate(objects: DataFrame, strategy: str, max_depth: int = DEPTH, k: int = PAGE) -> DataFrame:

@@ -98,7 +98,7 @@ def ls_root_cost(objects):
 
 
 @query(
-    f"SELECT row_number() OVER (ORDER BY name) AS rank, name, CASE WHEN is_dir THEN CAST(n AS VARCHAR) ELSE '(file)' END AS objects, bytes, {PRINTED.format('bytes')} AS size, cost, {DOLLARS.format('cost')} AS monthly FROM (SELECT name, is_dir, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM e GROUP BY name, is_dir) JOIN cost USING (name, is_dir)",
+    f"SELECT CAST(row_number() OVER (ORDER BY name) AS INTEGER) AS rank, name, CASE WHEN is_dir THEN CAST(n AS VARCHAR) ELSE '(file)' END AS objects, bytes, {PRINTED.format('bytes')} AS size, cost, {DOLLARS.format('cost')} AS monthly FROM (SELECT name, is_dir, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM e GROUP BY name, is_dir) JOIN cost USING (name, is_dir)",
     entries_cte(""), NAMES, PRICES, cost_cte("name, is_dir", "e", BASE_REGION),
 )
 def root_report(objects):
@@ -114,7 +114,7 @@ def _sorted(name: str, prefix: str, by: str, order: str, dirs_first: bool = Fals
     listed = "(SELECT name, is_dir, count(*) AS objects, CAST(sum(size) AS BIGINT) AS bytes FROM e GROUP BY name, is_dir)"
     cost = ", cost" if by == "cost" else ""
     more = [NAMES, PRICES, cost_cte("name, is_dir", "e", REGION)] if cost else []
-    query(f"SELECT row_number() OVER (ORDER BY {order}) AS rank, name, is_dir, objects, bytes{cost} FROM {listed}{' JOIN cost USING (name, is_dir)' if cost else ''}", entries_cte(prefix), *more)(run)
+    query(f"SELECT CAST(row_number() OVER (ORDER BY {order}) AS INTEGER) AS rank, name, is_dir, objects, bytes{cost} FROM {listed}{' JOIN cost USING (name, is_dir)' if cost else ''}", entries_cte(prefix), *more)(run)
 
 
 _sorted("ls_sort_size", "", "size", "bytes DESC, name")
@@ -125,7 +125,7 @@ _sorted("ls_sort_cost", "", "cost", "cost DESC, name")
 _sorted("ls_dirs_first", "", "size", "is_dir DESC, bytes DESC, name", dirs_first=True)
 
 
-@query("SELECT row_number() OVER (ORDER BY bytes DESC, name) AS rank, name, bytes FROM (SELECT name, CAST(sum(size) AS BIGINT) AS bytes FROM e GROUP BY name, is_dir) QUALIFY rank <= 10", entries_cte("orders/F/1995/"))
+@query("SELECT CAST(row_number() OVER (ORDER BY bytes DESC, name) AS INTEGER) AS rank, name, bytes FROM (SELECT name, CAST(sum(size) AS BIGINT) AS bytes FROM e GROUP BY name, is_dir) QUALIFY rank <= 10", entries_cte("orders/F/1995/"))
 def ls_top_k(objects):
     return listing.top_entries(listing.list_directory(objects, "orders/F/1995/"), 10).select("rank", "name", "bytes")
 
@@ -217,7 +217,7 @@ def dir_depth_stats(objects):
 
 @query("SELECT prefix, depth, dirs, files, entries FROM sizes", ANCESTORS, LISTINGS)
 def fanout_stats(objects):
-    return rollup.entry_counts(objects)
+    return rollup.entry_counts(objects).drop("objects")
 
 
 # Predicates and ordered scans.
@@ -414,7 +414,7 @@ def chunks(objects):
     return paging.chunks(objects)
 
 
-@query("SELECT rank, name FROM (SELECT row_number() OVER (ORDER BY bytes DESC, name) AS rank, name FROM (SELECT name, sum(size) AS bytes FROM e GROUP BY name, is_dir)) WHERE rank BETWEEN 6 AND 15", entries_cte("documents/en/"))
+@query("SELECT rank, name FROM (SELECT CAST(row_number() OVER (ORDER BY bytes DESC, name) AS INTEGER) AS rank, name FROM (SELECT name, sum(size) AS bytes FROM e GROUP BY name, is_dir)) WHERE rank BETWEEN 6 AND 15", entries_cte("documents/en/"))
 def visible_rows(objects):
     rows = listing.ranked(listing.list_directory(objects, "documents/en/"))
     return paging.window_rows(rows, 10, 10, 21).select("rank", "name")

@@ -96,9 +96,11 @@ def test_maps_and_equality(spark):
 
 
 def test_prefix_bound():
-    for p in ("a/", "x", "events/"):
+    for p in ("a/", "x", "events/", "é", "日本", "\ue000", "a\x00"):
         lo = above_prefix(p)
-        assert lo < p and lo.encode() < p.encode()
+        assert lo.encode() < p.encode() <= (p + "x").encode()
+        assert p[-1] == "\x00" or lo.encode() > (p[:-1] + "\x01" * 9).encode()
+    assert above_prefix("") == ""
 
 
 def test_browser(spark):
