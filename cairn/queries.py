@@ -513,10 +513,9 @@ def human_rate(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", text.human_rate(r).alias("rate"))
 
 
-@query("SELECT doc_id, CASE WHEN length(t) <= 12 THEN t ELSE left(t, 11) || '…' END AS cut, CASE WHEN length(t) <= 1 THEN t ELSE '…' END AS least FROM (SELECT doc_id, left(text, 5 + doc_id % 20) AS t FROM documents)", over_objects=False)
+@query("SELECT doc_id, CASE WHEN length(text) <= 12 THEN text ELSE left(text, 11) || '…' END AS cut, CASE WHEN length(text) <= 1 THEN text ELSE '…' END AS least FROM documents", over_objects=False)
 def truncate_name(spark, sf_dir):
-    t = F.left("text", (F.col("doc_id") % 20 + 5).cast("int"))
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", text.truncated(t, 12).alias("cut"), text.truncated(t, 1).alias("least"))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", text.truncated(F.col("text"), 12).alias("cut"), text.truncated(F.col("text"), 1).alias("least"))
 
 
 @query("SELECT event_id, printf('%02d:%02d', CAST(s // 60 AS BIGINT), CAST(s % 60 AS BIGINT)) AS elapsed, greatest(0.0::DOUBLE, least(1.0::DOUBLE, value / 100)) AS share, CAST(round(value * 100 / 32) AS INTEGER) AS percent, CAST(0 AS INTEGER) AS guarded FROM (SELECT event_id, value, event_id * 37 AS s FROM events)", over_objects=False)
