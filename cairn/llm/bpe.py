@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of a match, and characters of a text, that are encoded without halving; matches remembered.
-PIECE, TEXT, MEMO = 24, 1 << 14, 300_000
+PIECE, TEXT, MEMO = 24, 1 << 14, 120_000
 #: Characters behind a match that the pattern may look at ('ll after an apostrophe).
 LOOK = 3
 

@@ -9,7 +9,7 @@ connection; stars are made distinct, verified by XOR and joined into components.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 from .common import checkpointed, components, text_table
 
 #: Shingles whose bits are held at once.
-STEP = 1 << 17
+STEP = 1 << 16
 
 
-def fingerprints(texts: list[bytes | None], shingle: int = 3) -> np.ndarray:
+def fingerprints(texts: Sequence[str | None], shingle: int = 3) -> np.ndarray:
     """64-bit fingerprints as signed numbers: a bit is 1 if it is set in over half the hashes of the shingles, repeats included."""
     out = np.zeros(len(texts), np.int64)
     hash64 = xxhash.xxh64_intdigest
@@ -47,11 +47,11 @@ def fingerprints(texts: list[bytes | None], shingle: int = 3) -> np.ndarray:
         n, count = len(words) - shingle + 1, np.zeros(64, np.int64)
         for i in range(0, n, STEP):
             h = np.array([hash64(b" ".join(words[j : j + shingle]), 42) for j in range(i, min(n, i + STEP))], np.uint64)
-            count += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0)
+            count += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
         return int(np.packbits(2 * count > n).view(">i8")[0])
 
     for i, text in enumerate(texts):
-        words = text.lower().split() if text else []
+        words = text.encode().lower().split() if text else []  # one text at a time: a batch holds many megabytes
         n = len(words)
         if not n:
             continue
@@ -80,7 +80,7 @@ def with_fingerprint(docs: DataFrame, out: str = "fp", text_col: str = "text", s
     @F.pandas_udf("long")
     def fingerprint(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            yield pd.Series(fingerprints([None if t is None else t.encode() for t in s], shingle), dtype="int64")
+            yield pd.Series(fingerprints(s, shingle), dtype="int64")
 
     return docs.withColumn(out, fingerprint(F.col(f"`{text_col}`")))
 
