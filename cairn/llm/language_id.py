@@ -55,9 +55,13 @@ def counted(text: str | None) -> tuple[np.ndarray, np.ndarray]:
             end = min(len(text), at + STEP)
             while end < len(text) and text[end - 1].isalpha() and text[end].isalpha() and end - at < 2 * STEP:
                 end += 1
-            parts.append(counted(text[at:end]))
+            parts.append(_distinct(text[at:end]))
             at = end
         return _summed(parts)
+    return _distinct(text)
+
+
+def _distinct(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     g = np.sort(grams(text))
     new = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.empty(0, np.int64)
     return g[new], np.diff(np.append(new, len(g)))
