@@ -22,7 +22,12 @@ DROP = frozenset("nav header footer aside form button dialog menu head".split())
 BLOCK = frozenset("address article blockquote body caption center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hr html li main ol p pre section summary table tbody td tfoot th thead tr ul".split())
 PROSE = frozenset("p pre td blockquote h1 h2 h3 h4 h5 h6 li dd".split())
 #: An open p ends where one of these begins.
-ENDS_P = BLOCK - frozenset("body html caption dd dt li tbody td tfoot th thead tr".split())
+ENDS_P = (BLOCK - frozenset("body html caption dd dt li tbody td tfoot th thead tr".split())) | frozenset("nav header footer aside form menu".split())
+#: Elements that an inline end tag does not reach out of, and parts of larger elements that are never a container on their own.
+WALL = BLOCK | DROP
+PART = frozenset("a b dd dl dt em font i li ol p small span strong table tbody td tfoot th thead tr u ul".split())
+#: A tag that a page breaks off in.
+BROKEN = re.compile(r"<[/a-zA-Z!?][^<>]*$")
 #: An element ends where one of its own kind begins, up to the container that holds such elements.
 SIBLING = {"li": ("li", "ul ol"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
 NEGATIVE = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disqus|footer|footnotes?|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|pager|pagination|popup|promo\w*|related|remarks?|replies|respond|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
@@ -61,7 +66,7 @@ def parse(html: str) -> Node:
         if m[1]:
             up = node
             while up is not root and up.tag != tag:
-                if tag not in BLOCK and up.tag in BLOCK:  # an inline end tag closes nothing outside its block
+                if tag not in WALL and up.tag in WALL:  # an inline end tag closes nothing outside its block
                     up = root
                     break
                 up = up.parent
@@ -70,7 +75,7 @@ def parse(html: str) -> Node:
             continue
         if tag in ENDS_P:
             up = node
-            while up is not root and up.tag != "p" and up.tag not in BLOCK:
+            while up is not root and up.tag != "p" and up.tag not in WALL:
                 up = up.parent
             if up.tag == "p":
                 node = up.parent
@@ -100,7 +105,7 @@ def parse(html: str) -> Node:
         elif tag not in VOID and not (m[3] or "").endswith("/"):
             node = new
     if at < len(html):
-        node.children.append(html[at:])
+        node.children.append(BROKEN.sub("", html[at:]))
     return root
 
 
@@ -150,8 +155,8 @@ def _kept(root: Node) -> list[Node]:
                 best, most = n, n.score
     if best is None:
         return [root]
-    while best.parent is not None and best.tag not in ("article", "main", "body", "") and best.tag in ("b", "i", "em", "strong", "span", "p", "a", "font", "u", "small"):
-        best = best.parent  # a paragraph left open holds those that follow it
+    while best.parent is not None and best.tag in PART:
+        best = best.parent  # so do paragraphs left open, that hold those that follow
     for up in _ancestors(best):
         if up.tag in ("article", "main"):
             return [up]
