@@ -36,8 +36,8 @@ def plan_bytes(df: DataFrame) -> int:
 
 
 def groups_for(df: DataFrame, group_bytes: int) -> int:
-    """A number of hash groups that follows the input: at most about group_bytes of files each, and two for each shuffle partition."""
-    return max(2 * shuffle_partitions(df.sparkSession), plan_bytes(df) // group_bytes)
+    """A number of hash groups that follows the input: at most about group_bytes of files each, and one for each shuffle partition at least."""
+    return max(shuffle_partitions(df.sparkSession), plan_bytes(df) // group_bytes)
 
 
 def text_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

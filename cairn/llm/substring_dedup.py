@@ -26,30 +26,35 @@ from pyspark.sql import functions as F
 
 from .common import groups_for
 
-#: Files' bytes in one home, text bytes in one step of a home, and windows that one packed string holds at most.
-HOME_BYTES, BLOCK_BYTES, RUN = 2 << 20, 4 << 20, 64
-MEMO = 400_000
+#: Files' bytes in one home, text bytes in one step of a home, windows that one packed string holds at most, and how hard these are pressed.
+HOME_BYTES, BLOCK_BYTES, RUN, LEVEL = 2 << 20, 3 << 20, 64, 5
+#: Bytes of a word beyond which it is hashed on its own.
+LONG = 256
 U = np.uint64
 ODD, MIX = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
 OUT = ("n_words", "n_removed")
+SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+LOW = np.array([(1 << 8 * i) - 1 for i in range(9)], U)
 
 
-class _Hash(dict):
-    """Hashes of words, kept while there is room."""
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h ^= h >> U(32)
+    h *= MIX
+    h ^= h >> U(29)
+    return h
 
-    def __missing__(self, word):
-        if len(self) >= MEMO:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-class _Number(dict):
-    """Numbers words in the order they come; two words have the same number only if they are equal."""
 
-    def __missing__(self, word):
-        self[word] = n = len(self)
-        return n
+def _word_hashes(text: bytes, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """A hash of each word of a text that goes on for 8 bytes behind the last word: eight bytes at a time, all words at once."""
+    eights = np.ndarray((len(text) - 7,), "<u8", text, 0, (1,))
+    h = _mixed((eights[begin] & LOW[np.minimum(length, 8)]) + length.astype(U) * ODD)
+    done = 8
+    while len(some := np.flatnonzero(length > done)) and done < LONG:
+        h[some] = _mixed(h[some] * ODD + (eights[begin[some] + done] & LOW[np.minimum(length[some] - done, 8)]))
+        done += 8
+    for i in some.tolist():
+        h[i] = xxhash.xxh3_64_intdigest(text[begin[i] : begin[i] + length[i]])
+    return h
 
 
 def _windows(g: np.ndarray, k: int, mul: np.uint64) -> np.ndarray:
@@ -73,10 +78,7 @@ def _superkmers(h: np.ndarray, doc: np.ndarray, k: int, m: int):
     n = len(h)
     if n < k:
         return (np.empty(0, np.int64),) * 2 + (np.empty(0, U),)
-    g = _windows(h, m, ODD)
-    g ^= g >> U(32)
-    g *= MIX
-    g ^= g >> U(29)
+    g = _mixed(_windows(h, m, ODD))
     least, span, width = g, 1, k - m + 1
     while 2 * span <= width:
         least = np.minimum(least[:-span], least[span:])
@@ -97,22 +99,31 @@ def _superkmers(h: np.ndarray, doc: np.ndarray, k: int, m: int):
 
 
 class _Block:
-    """Some documents' words in one buffer, and their super-k-mers."""
-
-    def __init__(self, texts: list[bytes | None], memo: _Hash, k: int, m: int):
-        split = [t.split() if t else [] for t in texts]
-        self.size = np.fromiter(map(len, split), np.int64, len(split))
-        self.words = [w for s in split for w in s]
-        self.buffer = b" ".join(self.words)
-        n = len(self.words)
-        length = np.fromiter(map(len, self.words), np.int64, n) + 1
-        self.begin = np.cumsum(length) - length
-        self.end = self.begin + length - 1
+    """Some documents' words in one buffer, a space behind each, and their super-k-mers."""
+
+    def __init__(self, texts: list[bytes | None], k: int, m: int):
+        raw = np.frombuffer(b"\n".join([t or b"" for t in texts]) + b"\n", np.uint8)
+        space = SPACE[raw]
+        first = np.empty(len(raw), bool)  # of a word
+        first[0] = not space[0]
+        first[1:] = space[:-1] & ~space[1:]
+        keep = ~space
+        keep[1:] |= ~space[:-1]
+        words = np.searchsorted(np.flatnonzero(first), np.cumsum([len(t or b"") + 1 for t in texts]))
+        self.size = np.diff(words, prepend=0)
+        self.bytes = np.where(space, np.uint8(32), raw)[keep]
+        self.buffer = self.bytes.tobytes()
+        self.begin = np.flatnonzero(first[keep])
+        self.length = np.diff(np.append(self.begin, len(self.buffer))) - 1
+        del raw, space, first, keep
         self.doc = np.repeat(np.arange(len(texts)), self.size)
-        h = np.fromiter(map(memo.__getitem__, self.words), U, n)
+        h = _word_hashes(self.buffer + bytes(8), self.begin, self.length)
         self.first, self.last, self.key = _superkmers(h, self.doc, k, m)
-        b, self.of = self.buffer, self.doc[self.first]
-        self.packed = [b[i:j] for i, j in zip(self.begin[self.first].tolist(), self.end[self.last + k - 1].tolist(), strict=True)]
+        self.of = self.doc[self.first]
+
+    def packed(self, k: int) -> list[bytes]:
+        b, end = self.buffer, self.last + k - 1
+        return [b[i:j] for i, j in zip(self.begin[self.first].tolist(), (self.begin[end] + self.length[end]).tolist(), strict=True)]
 
 
 def _blocks(table: pa.Table):
@@ -131,18 +142,17 @@ def _blocks(table: pa.Table):
 
 
 def _emit(k: int, m: int, buckets: int):
-    memo = _Hash()
     schema = pa.schema([("bucket", pa.int32()), ("home", pa.int64()), ("strings", pa.binary()), ("ids", pa.binary())])
 
     def home(table: pa.Table) -> pa.Table:
-        press = zstandard.ZstdCompressor(level=1).compress
+        press = zstandard.ZstdCompressor(level=LEVEL).compress
         out: list[tuple] = []
         number = table.column("home")[0].as_py()
         for _, texts, ids in _blocks(table.filter(table.column("doc_id").is_valid())):
-            block = _Block(texts, memo, k, m)
+            block = _Block(texts, k, m)
             own = np.array(ids, np.int64)[block.of] if len(block.of) else np.empty(0, np.int64)
             up = np.argsort(own, kind="stable").tolist()
-            packed = block.packed
+            packed = block.packed(k)
             high = {packed[i]: i for i in up}  # the last to come is the largest
             low = {packed[i]: i for i in reversed(up)}
             strings = list(high)
@@ -160,31 +170,44 @@ def _emit(k: int, m: int, buckets: int):
     return home
 
 
-def window_minima(strings: list[bytes], least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of distinct strings, each with its smallest id: for every window in turn the smallest id over all strings that hold it; windows of each string."""
-    n_words = np.fromiter((s.count(b" ") + 1 for s in strings), np.int64, len(strings))
+class _Number(dict):
+    """Numbers words in the order they come; two words have the same number only if they are equal."""
+
+    def __missing__(self, word):
+        self[word] = n = len(self)
+        return n
+
+
+def _exact_order(words: list[bytes], at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows in the order of their words, and whether each equals the one before it: for buckets where a hash stands for two sequences."""
     numbers = _Number()
-    words = b" ".join(strings).split(b" ")
     ids = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
-    del words, numbers
+    rows = ids[at[:, None] + np.arange(k)]
+    order = np.lexsort(rows.T)
+    rows = rows[order]
+    return order, (rows[1:] == rows[:-1]).all(1)
+
+
+def window_minima(strings: list[bytes], least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of distinct strings, each with its smallest id: for every window in turn the smallest id over all strings that hold it; windows of each string."""
+    text = b"\n".join(strings) + b"\n"
+    raw = np.frombuffer(text, np.uint8)
+    ends = np.flatnonzero(raw <= 32)
+    begin = np.concatenate([[0], ends[:-1] + 1])
+    n_words = np.diff(np.flatnonzero(raw[ends] == 10), prepend=-1)
     n_win = n_words - k + 1
     offset = np.cumsum(n_words) - n_words
     before = np.cumsum(n_win) - n_win
     at = np.repeat(offset - before, n_win) + np.arange(n_win.sum())
-    g = (ids.astype(U) + U(1)) * ODD
-    g ^= g >> U(31)
-    g *= MIX
-    h = _windows(g, k, ODD)[at]
+    h = _windows(_word_hashes(text + bytes(8), begin, ends - begin), k, ODD)[at]
     order = np.argsort(h, kind="stable")
     h = h[order]
     same = h[1:] == h[:-1]
     pairs = np.flatnonzero(same)
     a, b = at[order[pairs]], at[order[pairs + 1]]
-    if not all((ids[a + j] == ids[b + j]).all() for j in range(k)):  # two sequences with one hash: sort the words themselves
-        rows = ids[at[:, None] + np.arange(k)]
-        order = np.lexsort(rows.T)
-        rows = rows[order]
-        same = (rows[1:] == rows[:-1]).all(1)
+    spans = zip(begin[a].tolist(), ends[a + k - 1].tolist(), begin[b].tolist(), ends[b + k - 1].tolist(), strict=True)
+    if not all([text[i:j] == text[x:y] for i, j, x, y in spans]):
+        order, same = _exact_order(text.split(), at, k)
     new = np.flatnonzero(np.concatenate([[True], ~same]))
     per = np.repeat(least, n_win)[order]
     out = np.empty(len(order), np.int64)
@@ -196,7 +219,7 @@ def _count(k: int):
     schema = pa.schema([("home", pa.int64()), ("digests", pa.binary()), ("minima", pa.binary())])
 
     def bucket(table: pa.Table) -> pa.Table:
-        unpress, press = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress
+        unpress, press = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=LEVEL).compress
         index: dict[bytes, int] = {}
         homes, of, low, high = [], [], [], []
         for home, strings, ids in zip(*(table.column(c).to_pylist() for c in ("home", "strings", "ids")), strict=True):
@@ -228,8 +251,6 @@ def _count(k: int):
 
 
 def _resolve(k: int, m: int, names: list[str]):
-    memo = _Hash()
-
     def home(docs: pa.Table, answers: pa.Table) -> pa.Table:
         unpress = zstandard.ZstdDecompressor().decompress
         where: dict[bytes, int] = {}
@@ -245,11 +266,11 @@ def _resolve(k: int, m: int, names: list[str]):
         kept: list[bytes | None] = [None] * len(docs)
         n_words, n_removed = np.zeros(len(docs), np.int64), np.zeros(len(docs), np.int64)
         for rows, texts, ids in _blocks(docs):
-            block = _Block(texts, memo, k, m)
-            size, gone = block.size, np.zeros(len(block.words), bool)
+            block = _Block(texts, k, m)
+            size, gone = block.size, np.zeros(len(block.begin), bool)
             if where and len(block.first):
                 digest, get = xxhash.xxh3_128_digest, where.get
-                found = np.fromiter((get(digest(s), -1) for s in block.packed), np.int64, len(block.packed))
+                found = np.fromiter((get(digest(s), -1) for s in block.packed(k)), np.int64, len(block.first))
                 known = np.array([i is not None for i in ids])
                 own = np.array([i or 0 for i in ids], np.int64)
                 hit = np.flatnonzero((found >= 0) & known[block.of])
@@ -261,19 +282,14 @@ def _resolve(k: int, m: int, names: list[str]):
                 np.add.at(depth, start, 1)
                 np.add.at(depth, start + k, -1)
                 gone = np.cumsum(depth[:-1]) > 0
-            n_words[rows] = size
             end = np.cumsum(size)
             lost = np.concatenate([[0], np.cumsum(gone)])
-            removed = lost[end] - lost[end - size]
-            n_removed[rows] = removed
-            for i, row in enumerate(rows):
-                if texts[i] is None:
-                    continue
-                j = int(end[i])
-                some = block.words[j - int(size[i]) : j]
-                if removed[i]:
-                    some = [w for w, x in zip(some, gone[j - len(some) : j].tolist(), strict=True) if not x]
-                kept[row] = b" ".join(some)
+            n_words[rows], n_removed[rows] = size, lost[end] - lost[end - size]
+            left = block.bytes[np.repeat(~gone, block.length + 1)].tobytes() if gone.any() else block.buffer
+            held = np.concatenate([[0], np.cumsum(np.where(gone, 0, block.length + 1))])
+            for row, t, i, j in zip(rows, texts, held[end - size].tolist(), held[end].tolist(), strict=True):
+                if t is not None:
+                    kept[row] = left[i : max(i, j - 1)]
         new = {"text": pa.array(kept, pa.binary()).cast(pa.string()), "n_words": pa.array(n_words), "n_removed": pa.array(n_removed)}
         return pa.Table.from_arrays([new[c] if c in new else docs.column(c) for c in names], names=names)
 
