@@ -4,7 +4,7 @@ Documents of a group (by default, of equal texts) are linked. As links join all
 of its documents each shard holds: at most one row a shard, whatever the group's size. Rounds move documents towards
 the shard that holds most of their neighbours, under quotas:
 
-* what two shards want to give each other is swapped in equal numbers;
+* what shards want to give each other, two at a time or around a circle, is swapped in equal numbers;
 * beyond that, a shard takes in no more than its capacity leaves free.
 
 So every state keeps to the capacities. A group's last mover may move in part. Documents without links fill what is
@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 
 from .common import checkpointed, numbered, shuffle_partitions
 
-ROUNDS = 6
+ROUNDS = 12
 
 
 def _before(df: DataFrame, within: list[str], bucket: Column, order: list[Column], weight: str, out: str) -> DataFrame:
@@ -45,6 +45,56 @@ def _in_ranges(number: Column, sizes: list[int]) -> Column:
     return out
 
 
+def quotas(want: dict[tuple[int, int], int], free: list[int]) -> dict[tuple[int, int], int]:
+    """How many rows may go from shard to shard, of those that want to, so that no shard takes in more than leaves it and is free.
+
+    First swaps; then moves into free room, which leave room where they come from; then circles of three or more. A
+    matter of shards x shards numbers.
+    """
+    left, free, out = dict(want), list(free), dict.fromkeys(want, 0)
+
+    def go(a: int, b: int, n: int) -> None:
+        left[a, b] -= n
+        out[a, b] += n
+
+    for a, b in want:
+        if a < b and (n := min(left[a, b], left.get((b, a), 0))):
+            go(a, b, n), go(b, a, n)
+    while True:
+        moved = False
+        for (a, b), m in sorted(left.items(), key=lambda x: (-x[1], x[0])):
+            if n := min(m, max(0, free[b])):
+                go(a, b, n)
+                free[b] -= n
+                free[a] += n
+                moved = True
+        if moved:
+            continue
+        circle = _circle({e for e, m in left.items() if m})
+        if not circle:
+            return out
+        n = min(left[e] for e in circle)
+        for e in circle:
+            go(*e, n)
+
+
+def _circle(edges: set[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The edges of some circle, or none."""
+    while True:
+        onward = {a: min(b for x, b in edges if x == a) for a, _ in edges}
+        kept = {(a, b) for a, b in edges if b in onward}
+        if kept == edges:
+            break
+        edges = kept  # an edge into a dead end is on no circle
+    if not edges:
+        return []
+    path = [min(onward)]
+    while onward[path[-1]] not in path:
+        path.append(onward[path[-1]])
+    ring = path[path.index(onward[path[-1]]) :]
+    return list(zip(ring, [*ring[1:], ring[0]], strict=True))
+
+
 def _round(chunks: DataFrame, loads: list[int], caps: list[int]) -> tuple[DataFrame, list[int], int]:
     """The chunks (g, s, n) after one round, their loads by shard, and how many documents moved."""
     free = [c - n for c, n in zip(caps, loads, strict=True)]
@@ -58,9 +108,7 @@ def _round(chunks: DataFrame, loads: list[int], caps: list[int]) -> tuple[DataFr
     to = F.when(F.col("roomy.r") < F.col("r"), F.col("roomy.s")).when(F.col("r") > 1, F.col("best"))
     movers = checkpointed(aimed.withColumn("to", to).where("to is not null").select("g", "s", "to", "n", "r"))
     want = {(x.s, x.to): int(x.m) for x in movers.groupBy("s", "to").agg(F.sum("n").alias("m")).collect()}  # at most shards x shards rows
-    swap = {(a, b): min(m, want.get((b, a), 0)) for (a, b), m in want.items()}
-    beyond = [sum(m - swap[a, b] for (a, b), m in want.items() if b == i) for i in range(len(caps))]
-    quota = {(a, b): swap[a, b] + (min(m - swap[a, b], max(0, free[b]) * (m - swap[a, b]) // beyond[b]) if beyond[b] else 0) for (a, b), m in want.items()}
+    quota = quotas(want, free)
     if not any(quota.values()):
         return chunks, loads, 0
     allowed = F.lit(0)
