@@ -160,7 +160,7 @@ def balanced_shards(docs: DataFrame, shards: int = 8, rounds: int = ROUNDS, id_c
     rows = base.withColumn("b", _spread(spark, "doc_id", "size"))
     ranges = chunks.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("s", "n"))).alias("held"))  # at most a struct a shard
     ends = F.expr("transform(held, (x, i) -> struct(x.s as s, aggregate(slice(held, 1, i + 1), 0L, (a, y) -> a + y.n) as e))")
-    counts = rows.join(ranges.select("g"), "g", "left_semi").groupBy("g", "b").agg(F.count("*").alias("c"))
+    counts = rows.where("g is not null").groupBy("g", "b").agg(F.count("*").alias("c")).join(ranges.select("g"), "g", "left_semi")
     ahead = Window.partitionBy("g").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("o", F.coalesce(F.sum("c").over(ahead), F.lit(0))).join(ranges.select("g", ends.alias("ends")), "g").select("g", "b", "o", "ends")
     mine = Window.partitionBy("g", "b").orderBy("doc_id", "size", "text_crc32")
