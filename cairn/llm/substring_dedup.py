@@ -12,11 +12,16 @@ Consecutive windows with one minimiser travel as one packed string to the minimi
    window's smallest doc_id. It answers only the homes whose documents have something to remove.
 4. Each home meets its answers and drops the covered words.
 
-A passage that is in a third of all documents thus reaches its bucket once a home, not once a document.
+A passage that is in a third of all documents thus reaches its bucket once a home, not once a document. A minimiser
+that stands in very many different contexts would still fill one bucket: these are counted over the whole input
+beforehand, and their windows go to buckets of their own hash, one by one. Both ways depend on a window's words alone,
+so equal windows meet whatever the list of such minimisers holds.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -24,12 +29,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import groups_for
+from .common import checkpointed, groups_for
 
 #: Files' bytes in one home, text bytes in one step of a home, windows that one packed string holds at most, and how hard these are pressed.
 HOME_BYTES, BLOCK_BYTES, RUN, LEVEL = 2 << 20, 3 << 20, 64, 5
 #: Bytes of a word beyond which it is hashed on its own.
 LONG = 256
+#: Contexts beyond which a minimiser's windows are spread, or that share of all; contexts in one task that are reported; pairs held in a task.
+HOT, HOT_SHARE, SEEN, HELD = 50_000, 1e-5, 8, 2_000_000
 U = np.uint64
 ODD, MIX = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
 OUT = ("n_words", "n_removed")
@@ -73,8 +80,8 @@ def _windows(g: np.ndarray, k: int, mul: np.uint64) -> np.ndarray:
     return out
 
 
-def _superkmers(h: np.ndarray, doc: np.ndarray, k: int, m: int):
-    """First and last window of each super-k-mer, and its minimiser. doc: the document of each word."""
+def _superkmers(h: np.ndarray, doc: np.ndarray, k: int, m: int, hot: np.ndarray):
+    """First and last window of each super-k-mer, and its minimiser; the window's own hash for hot ones. doc: the document of each word."""
     n = len(h)
     if n < k:
         return (np.empty(0, np.int64),) * 2 + (np.empty(0, U),)
@@ -89,6 +96,8 @@ def _superkmers(h: np.ndarray, doc: np.ndarray, k: int, m: int):
     if not len(at):
         return at, at, np.empty(0, U)
     key = least[at]
+    if len(hot) and (spread := np.isin(key, hot)).any():
+        key[spread] = _mixed(_windows(h, k, MIX)[at[spread]])
     new = np.ones(len(at), bool)
     new[1:] = (at[1:] != at[:-1] + 1) | (key[1:] != key[:-1])
     begin = np.flatnonzero(new)
@@ -101,7 +110,7 @@ def _superkmers(h: np.ndarray, doc: np.ndarray, k: int, m: int):
 class _Block:
     """Some documents' words in one buffer, a space behind each, and their super-k-mers."""
 
-    def __init__(self, texts: list[bytes | None], k: int, m: int):
+    def __init__(self, texts: list[bytes | None], k: int, m: int, hot: np.ndarray):
         raw = np.frombuffer(b"\n".join([t or b"" for t in texts]) + b"\n", np.uint8)
         space = SPACE[raw]
         first = np.empty(len(raw), bool)  # of a word
@@ -117,8 +126,8 @@ class _Block:
         self.length = np.diff(np.append(self.begin, len(self.buffer))) - 1
         del raw, space, first, keep
         self.doc = np.repeat(np.arange(len(texts)), self.size)
-        h = _word_hashes(self.buffer + bytes(8), self.begin, self.length)
-        self.first, self.last, self.key = _superkmers(h, self.doc, k, m)
+        self.hashes = _word_hashes(self.buffer + bytes(8), self.begin, self.length)
+        self.first, self.last, self.key = _superkmers(self.hashes, self.doc, k, m, hot)
         self.of = self.doc[self.first]
 
     def packed(self, k: int) -> list[bytes]:
@@ -141,7 +150,41 @@ def _blocks(table: pa.Table):
         yield rows, [texts[j] for j in rows], [ids[j] for j in rows]
 
 
-def _emit(k: int, m: int, buckets: int):
+def _contexts(k: int, m: int):
+    """Of each minimiser with at least SEEN different contexts in a task how many these are; without a minimiser, those of all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none, total = np.empty(0, U), 0
+        keys, counts = none, np.empty(0, np.int64)
+        for batch in batches:
+            for _, texts, _ in _blocks(pa.Table.from_batches([batch])):
+                block = _Block(texts, k, m, none)
+                if not len(block.first):
+                    continue
+                context = _mixed(block.key * ODD + _windows(block.hashes, k, ODD)[block.first])
+                key = block.key[np.unique(context, return_index=True)[1]]
+                total += len(key)
+                keys, at = np.unique(np.concatenate([keys, key]), return_inverse=True)
+                counts = np.bincount(at, np.concatenate([counts, np.ones(len(key), np.int64)]), len(keys)).astype(np.int64)
+                if len(keys) > HELD:
+                    some = counts >= 2
+                    keys, counts = keys[some], counts[some]
+        some = counts >= SEEN
+        out = [pa.array([None, *keys[some].view(np.int64).tolist()], pa.int64()), pa.array([total, *counts[some].tolist()], pa.int64())]
+        yield pa.RecordBatch.from_arrays(out, names=["key", "n"])
+
+    return run
+
+
+def hot_minimisers(texts: DataFrame, k: int, m: int) -> np.ndarray:
+    """Minimisers (hashes) that stand in more than HOT contexts and more than HOT_SHARE of all: at most 1 / HOT_SHARE of them."""
+    counts = checkpointed(texts.mapInArrow(_contexts(k, m), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
+    total = counts.where("key is null").select("n").first()
+    most = max(HOT, HOT_SHARE * total.n if total else 0)
+    return np.array([r.key for r in counts.where("key is not null").where(F.col("n") > most).collect()], np.int64).view(U)
+
+
+def _emit(k: int, m: int, buckets: int, hot: np.ndarray):
     schema = pa.schema([("bucket", pa.int32()), ("home", pa.int64()), ("strings", pa.binary()), ("ids", pa.binary())])
 
     def home(table: pa.Table) -> pa.Table:
@@ -149,7 +192,7 @@ def _emit(k: int, m: int, buckets: int):
         out: list[tuple] = []
         number = table.column("home")[0].as_py()
         for _, texts, ids in _blocks(table.filter(table.column("doc_id").is_valid())):
-            block = _Block(texts, k, m)
+            block = _Block(texts, k, m, hot)
             own = np.array(ids, np.int64)[block.of] if len(block.of) else np.empty(0, np.int64)
             up = np.argsort(own, kind="stable").tolist()
             packed = block.packed(k)
@@ -250,7 +293,7 @@ def _count(k: int):
     return bucket
 
 
-def _resolve(k: int, m: int, names: list[str]):
+def _resolve(k: int, m: int, names: list[str], hot: np.ndarray):
     def home(docs: pa.Table, answers: pa.Table) -> pa.Table:
         unpress = zstandard.ZstdDecompressor().decompress
         where: dict[bytes, int] = {}
@@ -266,7 +309,7 @@ def _resolve(k: int, m: int, names: list[str]):
         kept: list[bytes | None] = [None] * len(docs)
         n_words, n_removed = np.zeros(len(docs), np.int64), np.zeros(len(docs), np.int64)
         for rows, texts, ids in _blocks(docs):
-            block = _Block(texts, k, m)
+            block = _Block(texts, k, m, hot)
             size, gone = block.size, np.zeros(len(block.begin), bool)
             if where and len(block.first):
                 digest, get = xxhash.xxh3_128_digest, where.get
@@ -310,10 +353,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kept = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)]) if others else F.lit(0)
     raw = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), kept.alias("rest"))
     keyed = raw.withColumn("home", F.pmod(F.xxhash64("doc_id", "text"), F.lit(homes)))
-    sent = keyed.groupBy("home").applyInArrow(_emit(window, minimiser, buckets), "bucket int, home long, strings binary, ids binary")
+    hot = hot_minimisers(raw.select("doc_id", "text"), window, minimiser)
+    sent = keyed.groupBy("home").applyInArrow(_emit(window, minimiser, buckets, hot), "bucket int, home long, strings binary, ids binary")
     answers = sent.groupBy("bucket").applyInArrow(_count(window), "home long, digests binary, minima binary")
     names = ["doc_id", "text", "rest", "n_words", "n_removed"]
     schema = f"doc_id long, text string, rest {keyed.schema['rest'].dataType.simpleString()}, n_words long, n_removed long"
-    out = keyed.groupBy("home").cogroup(answers.groupBy("home")).applyInArrow(_resolve(window, minimiser, names), schema)
+    out = keyed.groupBy("home").cogroup(answers.groupBy("home")).applyInArrow(_resolve(window, minimiser, names, hot), schema)
     back = {id_col: F.col("doc_id").cast(docs.schema[id_col].dataType), text_col: F.col("text")} | {c: F.col(f"rest.c{i}") for i, c in enumerate(others)}
     return out.select(*[back[c].alias(c) for c in docs.columns if c not in OUT], *OUT)

@@ -53,6 +53,22 @@ def test_passages_and_copies(spark):
     assert run(spark, rows) == brute(rows, 13)
 
 
+def test_hot_minimisers_are_spread(spark, monkeypatch):
+    rnd = random.Random(12)
+    word = lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n))
+    rows = [(i, " ".join([*(word(5) for _ in range(9)), "the of and to in", *(word(5) for _ in range(9))])) for i in range(300)]
+    rows += [(1000 + i, rows[i][1] + " " + word(3)) for i in range(0, 300, 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert len(sd.hot_minimisers(df, 13, 5)) == 0
+    monkeypatch.setattr(sd, "HOT", 100)
+    monkeypatch.setattr(sd, "SEEN", 2)
+    hot = sd.hot_minimisers(df, 13, 5)
+    assert 0 < len(hot) < 20
+    plain, spread = (sd._Block([t.encode() for _, t in rows], 13, 5, x) for x in (hot[:0], hot))
+    assert max(np.unique(spread.key, return_counts=True)[1]) < max(np.unique(plain.key, return_counts=True)[1]) / 2
+    assert run(spark, rows) == brute(rows, 13)
+
+
 def test_hash_collisions_are_told_apart(monkeypatch):
     strings = [b"a b c d", b"b c d e", b"x y z", b"a b c"]
     expected, n = sd.window_minima(strings, np.array([5, 3, 9, 7]), 3)
