@@ -53,7 +53,7 @@ def numbered(df: DataFrame, within: Sequence[str], order: Sequence[Column], out:
     groups x buckets rows.
     """
     spark = df.sparkSession
-    buckets = 4 * shuffle_partitions(spark)
+    buckets = shuffle_partitions(spark)
     named = df.withColumn("__bucket", F.pmod(spread, F.lit(buckets)).cast("int"))
     keys = [*within, "__bucket"]
     counts = named.groupBy(*keys).agg(F.count("*").alias("__n"))

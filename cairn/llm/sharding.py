@@ -33,7 +33,7 @@ def _before(df: DataFrame, within: list[str], bucket: Column, order: list[Column
 
 
 def _spread(spark, *cols: str) -> Column:
-    return F.pmod(F.xxhash64(*cols), F.lit(4 * shuffle_partitions(spark))).cast("int")
+    return F.pmod(F.xxhash64(*cols), F.lit(shuffle_partitions(spark))).cast("int")
 
 
 def _in_ranges(number: Column, sizes: list[int]) -> Column:
@@ -116,7 +116,7 @@ def _round(chunks: DataFrame, loads: list[int], caps: list[int]) -> tuple[DataFr
         allowed = F.when((F.col("s") == a) & (F.col("to") == b), F.lit(q)).otherwise(allowed)
     spark = chunks.sparkSession
     level = F.floor(F.log2(F.col("n"))).cast("int") * -1  # heavier movers first
-    bucket = level * 4 * shuffle_partitions(spark) + _spread(spark, "g")
+    bucket = level * shuffle_partitions(spark) + _spread(spark, "g")
     ordered = _before(movers, ["s", "to"], bucket, [F.desc("n"), F.col("g")], "n", "ahead")
     moved = ordered.withColumn("go", F.greatest(F.lit(0), F.least(F.col("n"), allowed - F.col("ahead")))).where("go > 0")
     moved = checkpointed(moved.select("g", "s", "to", "go"))
