@@ -99,7 +99,7 @@ def _round(chunks: DataFrame, loads: list[int], caps: list[int]) -> tuple[DataFr
     """The chunks (g, s, n) after one round, their loads by shard, and how many documents moved."""
     free = [c - n for c, n in zip(caps, loads, strict=True)]
     is_open = F.get(F.array(*[F.lit(f > 0) for f in free]), F.col("s"))
-    heavy = Window.partitionBy("g").orderBy(F.desc("n"), F.xxhash64("g", "s"), "s")
+    heavy = Window.partitionBy("g").orderBy(F.desc("n"), F.desc(is_open), F.xxhash64("g", "s"), "s")  # of equals one with room
     whole = Window.partitionBy("g")
     ranked = chunks.withColumn("r", F.row_number().over(heavy))
     best = F.min_by("s", "r").over(whole)

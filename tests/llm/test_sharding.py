@@ -48,7 +48,7 @@ def test_hot_group_fills_few_shards(spark):
     hot = zlib.crc32(b"hot")
     assert len({x for _, _, c, x, _ in got if c == hot}) <= 5
     n = out.groupBy("text_crc32").agg(F.countDistinct("shard").alias("k"), F.count("*").alias("n")).where("n = 2 and k = 2").count()
-    assert n <= 5
+    assert n <= 8
 
 
 def test_all_linked(spark):
