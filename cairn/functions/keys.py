@@ -62,11 +62,18 @@ def from_bytes(text: Column) -> Column:
 
 
 def common_length(a: Column, b: Column) -> Column:
-    """Length of the longest common prefix of two strings that as_bytes made; 0 if either is null."""
-    short = F.least(F.length(a), F.length(b))
-    same = F.zip_with(F.split(F.left(a, short), ""), F.split(F.left(b, short), ""), lambda x, y: x == y)
-    first = F.array_position(same, F.lit(False)).cast("int")
-    return F.coalesce(F.when(short == 0, F.lit(0)).when(first == 0, short).otherwise(first - 1), F.lit(0))
+    """Length of the longest common prefix of two strings that as_bytes made; 0 if either is null.
+
+    Found by halving: prefixes of growing length are equal up to the answer and differ from there on.
+    """
+    short = F.coalesce(F.least(F.length(a), F.length(b)), F.lit(0))
+    powers = F.sequence(F.length(F.bin(short)) - 1, F.lit(0), F.lit(-1))
+
+    def longer(n: Column, power: Column) -> Column:
+        m = n + F.call_function("shiftleft", F.lit(1), power)
+        return F.when((m <= short) & (F.left(a, m) == F.left(b, m)), m).otherwise(n)
+
+    return F.when(a.isNull() | b.isNull(), F.lit(0)).otherwise(F.aggregate(powers, F.lit(0), longer))
 
 
 def quoted(path: Column) -> Column:
