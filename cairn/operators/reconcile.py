@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.keys import check_prefix, depth, parent_of
 from ..plans.session import stored
@@ -123,6 +124,27 @@ def deduped(objects: DataFrame) -> DataFrame:
     return objects.groupBy("key").agg(F.min(F.struct("class", "size")).alias("v")).select("key", "v.size", "v.class")
 
 
+def owners(objects: DataFrame, batches: DataFrame) -> DataFrame:
+    """(key, batch): for each object the batch whose range (start_from, last_key] holds its key; null without one.
+
+    batches (batch, start_from, last_key) must not overlap. No range is tested against every key: starts and keys are
+    dealt by ranges together and kept, each key looks back to the last start, and a range's first keys to the last start
+    of an earlier range, a row each.
+    """
+    n = int(objects.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = F.struct("batch", "last_key")
+    starts = batches.select(F.col("start_from").alias("k"), F.lit(1).alias("kind"), held.alias("b"))
+    rows = objects.select(F.col("key").alias("k"), F.lit(0).alias("kind")).unionByName(starts, allowMissingColumns=True)
+    dealt = stored(rows.repartitionByRange(n, "k").withColumn("part", F.spark_partition_id()))
+    ends = dealt.groupBy("part").agg(F.max_by("b", F.when(F.col("kind") == 1, F.col("k"))).alias("b"))
+    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("part", F.last("b", ignorenulls=True).over(ahead).alias("carried"))
+    back = Window.partitionBy("part").orderBy("k", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    seen = dealt.withColumn("own", F.last("b", ignorenulls=True).over(back)).where("kind = 0").join(F.broadcast(ends), "part")
+    b = F.coalesce("own", "carried")
+    return seen.select(F.col("k").alias("key"), F.when(F.col("k") <= b["last_key"], b["batch"]).alias("batch"))
+
+
 @dataclass(frozen=True)
 class DeleteGuards:
     """What a deletion must state. It runs dry unless told otherwise."""

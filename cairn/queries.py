@@ -354,6 +354,14 @@ def batch_violations(objects):
     return reconcile.batch_violations(rows.unionByName(listing.below(objects, "events/view/").where("size % 3 = 0")), "events/purchase/")
 
 
+@query("SELECT key, coalesce(batch, '') AS batch FROM objects LEFT JOIN batches ON key > start_from AND key <= last_key", "batches AS (SELECT split_part(key, '/', 1) || '/' || split_part(key, '/', 2) || '/' AS batch, batch AS start_from, max(key) AS last_key FROM objects WHERE key LIKE '%/%/%' GROUP BY 1)")
+def batch_owner(objects):
+    """Each directory of the second level owns the keys below it, its marker aside."""
+    second = F.concat(F.substring_index("key", "/", 2), F.lit("/"))
+    batches = objects.where(F.col("key").like("%/%/%")).groupBy(second.alias("batch")).agg(F.max("key").alias("last_key"))
+    return reconcile.owners(objects, batches.select("batch", F.col("batch").alias("start_from"), "last_key")).na.fill("")
+
+
 @query(f"SELECT prefix, {PARENT} AS parent, CAST({DEPTH.format('prefix')} AS INTEGER) AS depth, class, count(*) AS objects, CAST(sum(size) AS BIGINT) AS bytes FROM spread GROUP BY prefix, class", BATCH, ANCESTORS.replace("FROM objects", "FROM merged"))
 def rollup_delta(objects):
     actions = reconcile.merge_actions(objects, delta_batch(objects), START)

@@ -91,3 +91,14 @@ def test_fan_out(spark):
     assert front(max_depth=1) == ["a/", "b/"]
     assert front(max_depth=3, min_prefixes=99) == ["a/x/", "a/y/", "b/"]
     assert front(max_depth=3, min_prefixes=2) == ["a/", "b/"]
+
+
+def test_owners(spark):
+    rnd = random.Random(3)
+    keys = sorted({"".join(rnd.choice("abc/") for _ in range(rnd.randint(1, 5))) for _ in range(120)})
+    cuts = sorted(rnd.sample(keys, 12))
+    batches = [(i, a, b) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if i % 3]
+    df = table(spark, [(k, 1, 1) for k in keys])
+    got = {r.key: r.batch for r in reconcile.owners(df, spark.createDataFrame(batches, "batch int, start_from string, last_key string")).collect()}
+    assert got == {k: next((i for i, a, b in batches if a < k <= b), None) for k in keys}
+    assert reconcile.owners(df, spark.createDataFrame([], "batch int, start_from string, last_key string")).where("batch is null").count() == len(keys)
