@@ -10,6 +10,7 @@ from ..functions.classes import class_name
 from ..functions.keys import check_prefix, entry_name, has_delimiter, rest_of
 from ..functions.pricing import monthly, prices_of
 from ..functions.text import bar_cells, human_bytes, human_dollars, share_text
+from .order import positions
 
 #: What a listing can be sorted by, and whether the largest come first unless asked otherwise.
 ORDERS = {"size": ("bytes", True), "name": ("name", False), "count": ("objects", True), "cost": ("cost", True)}
@@ -71,9 +72,13 @@ def next_order(by: str, descending: bool, chosen: str) -> tuple[str, bool]:
     return (by, not descending) if chosen == by else (chosen, ORDERS[chosen][1])
 
 
-def ranked(entries: DataFrame, by: str = "size", descending: bool | None = None, dirs_first: bool = False) -> DataFrame:
-    """entries with rank from 1. One directory's listing is ranked in one task: it is what a person reads."""
-    return entries.withColumn("rank", F.row_number().over(Window.orderBy(*sort_keys(by, descending, dirs_first))))
+def ranked(entries: DataFrame, by: str = "size", descending: bool | None = None, dirs_first: bool = False, wide: bool = False) -> DataFrame:
+    """entries with rank from 1. A listing that a person reads is ranked in one task; wide ranks one of any size, dealt by ranges and kept."""
+    keys = sort_keys(by, descending, dirs_first)
+    if wide:
+        # A file and a directory never share a name: the latter ends in the delimiter. So the name leaves no ties.
+        return positions(entries, *keys).withColumn("rank", (F.col("pos") + 1).cast("int")).drop("pos")
+    return entries.withColumn("rank", F.row_number().over(Window.orderBy(*keys)))
 
 
 def top_entries(entries: DataFrame, n: int, by: str = "size") -> DataFrame:

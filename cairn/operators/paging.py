@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.keys import entry_name, has_delimiter, rest_of
 from ..plans.session import stored
 from ..schema import DELIMITER, PAGE
 from .listing import below
+from .order import positions
 
 
 def page_size(max_keys: int) -> int:
@@ -54,22 +54,6 @@ def page_delimited(objects: DataFrame, prefix: str = "", start_after: str = "",
     return got.select(files.alias("contents"), dirs.alias("common_prefixes"), more.alias("truncated"), F.when(more, F.element_at(kept, -1)["name"]).alias("token"))
 
 
-def positions(rows: DataFrame, order: str = "key") -> DataFrame:
-    """rows with pos from 0 in the order of a unique column, without a sort in one task.
-
-    Rows are dealt by ranges of the column and kept, so that ranges do not change; each range is numbered on its own,
-    from an offset summed over the ranges' counts, a row each.
-    """
-    spark = rows.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = stored(rows.repartitionByRange(n, order).withColumn("__part", F.spark_partition_id()))
-    counts = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
-    ahead = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("__part", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__o"))
-    inside = Window.partitionBy("__part").orderBy(order)
-    return dealt.withColumn("__r", F.row_number().over(inside)).join(F.broadcast(offsets), "__part").withColumn("pos", F.col("__o") + F.col("__r") - 1).select(*rows.columns, "pos")
-
-
 def all_pages(objects: DataFrame, prefix: str = "", max_keys: int = PAGE) -> DataFrame:
     """(page, keys, first_key, last_key) of a whole listing without a delimiter."""
     n = page_size(max_keys)

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.paging import positions
+from ..operators.order import positions
 from ..operators.rollup import entry_counts
 from ..schema import PAGE
 

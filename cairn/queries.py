@@ -108,7 +108,7 @@ def root_report(objects):
 def _sorted(name: str, prefix: str, by: str, order: str, dirs_first: bool = False, descending: bool | None = None) -> None:
     def run(objects: DataFrame) -> DataFrame:
         rows = listing.with_entry_cost(objects, prefix, REGION) if by == "cost" else listing.list_directory(objects, prefix)
-        return listing.ranked(rows, by, descending, dirs_first).select("rank", "name", "is_dir", "objects", "bytes", *(["cost"] if by == "cost" else []))
+        return listing.ranked(rows, by, descending, dirs_first, wide=name == "ls_sort_name").select("rank", "name", "is_dir", "objects", "bytes", *(["cost"] if by == "cost" else []))
 
     run.__name__ = name
     listed = "(SELECT name, is_dir, count(*) AS objects, CAST(sum(size) AS BIGINT) AS bytes FROM e GROUP BY name, is_dir)"
