@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,21 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
+#: Texts that go to Python at a time where a step runs at once: a batch of long documents is then some megabytes.
+BATCH_ROWS, BATCH_KEY = 512, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """For steps that run inside: batches of BATCH_ROWS at most. The session's own setting holds again afterwards."""
+    own = spark.conf.get(BATCH_KEY)
+    spark.conf.set(BATCH_KEY, str(min(BATCH_ROWS, int(own)) if int(own) > 0 else BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_KEY, own)
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names; a temporary one only where that is unset, as in tests."""
     context = spark.sparkContext

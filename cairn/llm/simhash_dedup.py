@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, components, text_table
+from .common import checkpointed, components, small_batches, text_table
 
 #: Shingles whose bits are held at once.
 STEP = 1 << 16
@@ -104,7 +104,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     bits or fewer, its own included; rows whose id is null belong to a component but never name it (if no member has
     an id, it is null). Repeated rows come out as often as they come in.
     """
-    marked = checkpointed(with_fingerprint(text_table(docs, id_col, text_col), "fp", "text", shingle).select("doc_id", "fp"))
+    with small_batches(docs.sparkSession):
+        marked = checkpointed(with_fingerprint(text_table(docs, id_col, text_col), "fp", "text", shingle).select("doc_id", "fp"))
     points = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(ball_links(points.select("fp")))
     named = points.join(roots, points.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))

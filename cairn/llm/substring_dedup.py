@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, groups_for
+from .common import checkpointed, groups_for, small_batches
 
 #: Files' bytes in one home, text bytes in one step of a home, windows that one packed string holds at most, and how hard these are pressed.
 HOME_BYTES, BLOCK_BYTES, RUN, LEVEL = 2 << 20, 3 << 20, 64, 5
@@ -183,7 +183,8 @@ def _contexts(k: int, m: int):
 
 def hot_minimisers(texts: DataFrame, k: int, m: int) -> np.ndarray:
     """Minimisers (hashes) that stand in more than HOT contexts and more than HOT_SHARE of all: at most 1 / HOT_SHARE of them."""
-    counts = checkpointed(texts.mapInArrow(_contexts(k, m), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
+    with small_batches(texts.sparkSession):
+        counts = checkpointed(texts.mapInArrow(_contexts(k, m), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
     total = counts.where("key is null").select("n").first()
     most = max(HOT, HOT_SHARE * total.n if total else 0)
     return np.array([r.key for r in counts.where("key is not null").where(F.col("n") > most).collect()], np.int64).view(U)
