@@ -103,3 +103,17 @@ def test_counts_merge_like_one_pass(spark):
         if zlib.crc32(str(i).encode()) % 5 in (1, 2, 3):
             one.add(toxicity.word_hashes(t), i % 2)
     assert model.ratio == pytest.approx(toxicity.Model(one.rows).ratio)
+
+
+def test_words_and_neighbours_are_counted_exactly():
+    counts = toxicity.Counts()
+    for i in range(2000):
+        counts.add(toxicity.word_hashes(f"{letters(i)} same"), i % 2)
+    rows = counts.rows
+    assert rows.shape == (4, 2001) and rows[1:3].sum() == 4000
+    same = rows[:, rows[0].view("u8") == toxicity.word_hashes("same")[0]][:, 0]
+    assert same[1:].tolist() == [1000, 1000, 2000]
+
+
+def letters(i):
+    return "".join(chr(97 + int(c)) for c in str(i)) + "z"
