@@ -105,6 +105,25 @@ def test_counts_merge_like_one_pass(spark):
     assert model.ratio == pytest.approx(toxicity.Model(one.rows).ratio)
 
 
+def labelled(n, seed, size=40):
+    """Texts of which every fourth is toxic and holds a word that no ordinary one holds."""
+    rnd = random.Random(seed)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 9))) for _ in range(3000)]
+    texts = [[words[int(3000 * rnd.random() ** 3)] for _ in range(size)] + (["vile"] if i % 4 == 0 else []) for i in range(n)]
+    return [(i, " ".join(t)) for i, t in enumerate(texts)], [(i, int(i % 4 == 0)) for i in range(n)]
+
+
+def test_long_ordinary_texts_stay_ordinary(spark):
+    rows, labels = labelled(1500, 11)
+    model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    held = [(i, t) for i, t in rows if zlib.crc32(str(i).encode()) % 5 == 0]
+    clean = [t for i, t in held if i % 4 and model.score(toxicity.word_hashes(t)) < 0.5]
+    rnd = random.Random(12)
+    joined = [" ".join(rnd.sample(clean, 100)) for _ in range(30)]
+    assert len(clean) > 190 and sum(model.score(toxicity.word_hashes(t)) >= 0.5 for t in joined) <= 1
+    assert all(model.score(toxicity.word_hashes(t)) >= 0.5 for i, t in held if i % 4 == 0)
+
+
 def test_words_and_neighbours_are_counted_exactly():
     counts = toxicity.Counts()
     for i in range(2000):
