@@ -136,3 +136,18 @@ def test_words_and_neighbours_are_counted_exactly():
 
 def letters(i):
     return "".join(chr(97 + int(c)) for c in str(i)) + "z"
+
+
+def test_all_training_folds_are_counted(spark):
+    rows, labels = labelled(300, 13)
+    only = [i for i, _ in rows if i % 4 == 0 and zlib.crc32(str(i).encode()) % 5 == 4]
+    rows = [(i, t + " foul" if i in only else t) for i, t in rows]
+    model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    foul = toxicity.word_hashes("foul")
+    assert model.strengths(foul)[1] > 0 and foul[0] not in model.words
+    one = toxicity.Counts()
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 5:
+            one.add(toxicity.word_hashes(t), int(i % 4 == 0))
+    whole = toxicity.Model(one.rows)
+    assert (whole.words == model.whole[0]).all() and model.whole[1] == pytest.approx(whole.ratio)
