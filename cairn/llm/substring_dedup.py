@@ -241,7 +241,7 @@ def window_minima(strings: list[bytes], least: np.ndarray, k: int) -> tuple[np.n
     """Of distinct strings, each with its smallest id: for every window in turn the smallest id over all strings that hold it; windows of each string."""
     text = b"\n".join(strings) + b"\n"
     raw = np.frombuffer(text, np.uint8)
-    ends = np.flatnonzero(raw <= 32)
+    ends = np.flatnonzero((raw == 32) | (raw == 10))  # packed strings hold no other space; control bytes belong to words
     begin = np.concatenate([[0], ends[:-1] + 1])
     n_words = np.diff(np.flatnonzero(raw[ends] == 10), prepend=-1)
     n_win = n_words - k + 1
@@ -256,7 +256,7 @@ def window_minima(strings: list[bytes], least: np.ndarray, k: int) -> tuple[np.n
     a, b = at[order[pairs]], at[order[pairs + 1]]
     spans = zip(begin[a].tolist(), ends[a + k - 1].tolist(), begin[b].tolist(), ends[b + k - 1].tolist(), strict=True)
     if not all([text[i:j] == text[x:y] for i, j, x, y in spans]):
-        order, same = _exact_order(text.split(), at, k)
+        order, same = _exact_order([text[i:j] for i, j in zip(begin.tolist(), ends.tolist(), strict=True)], at, k)
     new = np.flatnonzero(np.concatenate([[True], ~same]))
     per = np.repeat(least, n_win)[order]
     out = np.empty(len(order), np.int64)

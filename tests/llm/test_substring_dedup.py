@@ -85,3 +85,17 @@ def test_empty_table_and_clashing_columns(spark):
     out = sd.substring_dedup(df)
     assert out.columns == ["home", "doc_id", "rest", "bucket", "text", "n_words", "n_removed"]
     assert [tuple(r) for r in out.orderBy("home").collect()] == [(1, 1, "r", None, text, 20, 0), (2, 2, "s", "b", "", 20, 20)]
+
+
+def test_control_bytes_belong_to_words(spark, monkeypatch):
+    rnd = random.Random(21)
+    word = lambda: "".join(rnd.choice("ab\x00\x01\x0e\x1b\x1c\x1fc") for _ in range(rnd.randint(1, 5)))
+    passage = " ".join(word() for _ in range(30))
+    rows = [(i, " ".join(word() for _ in range(15)) + "\t" + passage + " " + " ".join(word() for _ in range(15))) for i in range(20)]
+    for k, m in ((13, 5), (3, 2)):
+        assert run(spark, rows, window=k, minimiser=m) == brute(rows, k)
+    strings = [b"a\x01 b c\x1cd", b"a \x01b c\x1cd", b"b c\x1cd e"]
+    expected, n = sd.window_minima(strings, np.array([5, 3, 2]), 3)
+    assert (expected.tolist(), n.tolist()) == ([5, 3, 2], [1, 1, 1])
+    monkeypatch.setattr(sd, "_word_hashes", lambda text, begin, length: np.zeros(len(begin), np.uint64))
+    assert [x.tolist() for x in sd.window_minima(strings, np.array([5, 3, 2]), 3)] == [[5, 3, 2], [1, 1, 1]]
