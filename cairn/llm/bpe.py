@@ -2,16 +2,17 @@
 
 A text's encoding is the product of its halves' encodings, under a join that repairs the seam:
 
-* Within one match of the splitting pattern, two neighbouring tokens a, b are compatible if merging bytes(a) + bytes(b)
-  by rank gives a, b again. A sequence is the encoding of its bytes exactly if all neighbours are compatible: up to the
-  first merge over some token's end, every token's bytes go through the merges that they go through alone, so the first
-  such merge would also happen in the pair on its own. Joining two encodings therefore re-encodes a window of i tokens
-  on either side of the seam, and doubles i until the window's outer neighbours are compatible with what stays.
+* Within one match of the splitting pattern, the tree goes down to single bytes. Two neighbouring tokens a, b are
+  compatible if merging bytes(a) + bytes(b) by rank gives a, b again. A sequence is the encoding of its bytes exactly if
+  all neighbours are compatible: up to the first merge over some token's end, every token's bytes go through the merges
+  that they go through alone, so the first such merge would also happen in the pair on its own. Joining two encodings
+  therefore re-encodes a window of i tokens on either side of the seam, and doubles i until the window's outer neighbours
+  are compatible with what stays. Matches, halves, windows and pairs that came before are remembered.
 * Between matches, a match depends on the text from its start on only. Halves split on their own are joined by
   splitting anew from the last match of the left half that provably ends before the cut, until a boundary meets one
-  that the right half found; from there on both splits are the same.
+  that the right half found; from there on both splits are the same. Leaves of this tree are LEAF characters.
 
-Decoding concatenates bytes up the tree.
+Decoding concatenates the bytes of neighbours, level by level, up the tree. No tokenizer library takes part.
 """
 
 from __future__ import annotations
@@ -19,34 +20,36 @@ from __future__ import annotations
 import base64
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from hashlib import sha256
 from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import pandas as pd
 import regex
-import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of a match, and characters of a text, that are encoded without halving; matches remembered.
-PIECE, TEXT, MEMO = 24, 1 << 14, 120_000
+from .common import with_struct
+
+#: Characters of a leaf of the tree over a text; results of a kind that a worker remembers, and bytes of what is remembered at most.
+LEAF, MEMO, SHORT = 512, 100_000, 48
 #: Characters behind a match that the pattern may look at ('ll after an apostrophe).
 LOOK = 3
 
 
-class _Known(dict):
-    """Encodings of matches, kept while there is room."""
+class _Memo(dict):
+    """Results of a function of short keys, kept while there is room; long keys are computed each time."""
 
-    def __init__(self, tokenizer: Tokenizer):
-        self.tokenizer = tokenizer
+    def __init__(self, make: Callable):
+        self.make = make
 
-    def __missing__(self, match: str) -> tuple[int, ...]:
-        ids = tuple(self.tokenizer.leaf(match) if len(match) <= PIECE else self.tokenizer.piece(match.encode()))
-        if len(match) <= 64:
+    def __missing__(self, key):
+        out = self.make(key)
+        if len(key) <= SHORT:
             if len(self) >= MEMO:
                 self.clear()
-            self[match] = ids
-        return ids
+            self[key] = out
+        return out
 
 
 class Tokenizer:
@@ -55,35 +58,10 @@ class Tokenizer:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.bytes_of = {i: b for b, i in ranks.items()}
-        self.known = _Known(self)
-        #: Leaves are encoded by the library; a match alone is one match again.
-        self.leaf = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-
-    def merged(self, raw: bytes) -> list[int]:
-        """Merges by rank, leftmost first."""
-        ranks = self.ranks
-        if (whole := ranks.get(raw)) is not None:
-            return [whole]
-        if len(raw) > 4 * PIECE:
-            return self._queued(raw)
-        parts = [raw[i : i + 1] for i in range(len(raw))]
-        pairs = [ranks.get(raw[i : i + 2]) for i in range(len(raw) - 1)]
-        while True:
-            best, at = None, -1
-            for i, r in enumerate(pairs):
-                if r is not None and (best is None or r < best):
-                    best, at = r, i
-            if best is None:
-                return [ranks[p] for p in parts]
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-            del pairs[at]
-            if at < len(pairs):
-                pairs[at] = ranks.get(parts[at] + parts[at + 1])
-            if at:
-                pairs[at - 1] = ranks.get(parts[at - 1] + parts[at])
-
-    def _queued(self, raw: bytes) -> list[int]:
-        """The same for long strings, with a queue of pairs by rank and place."""
+        self.known, self.parts, self.windows, self.fits = _Memo(self.match), _Memo(self.tree), _Memo(self.merged), _Memo(self.compatible)
+
+    def merged(self, raw: bytes) -> tuple[int, ...]:
+        """Merges by rank, leftmost first, by a queue of pairs: what the joins apply to their windows."""
         ranks, n = self.ranks, len(raw)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         end = list(range(1, n + 1))  # of the part that begins here; 0: merged into the one before
@@ -101,47 +79,51 @@ class Tokenizer:
                     heappush(queue, (r, i))
             if (b := before[i]) >= 0 and (r := ranks.get(raw[b : end[i]])) is not None:
                 heappush(queue, (r, b))
-        return [ranks[raw[i:e]] for i, e in enumerate(end) if e]
-
-    def piece(self, raw: bytes) -> list[int]:
-        """Encoding of one match: halves, joined."""
-        if len(raw) <= PIECE:
-            return self.merged(raw)
+        return tuple([ranks[raw[i:e]] for i, e in enumerate(end) if e])
+
+    def match(self, match: str) -> tuple[int, ...]:
+        """Encoding of one match: its own token if the vocabulary has one, else what the tree over its bytes gives."""
+        raw = match.encode()
+        whole = self.ranks.get(raw)
+        return self.tree(raw) if whole is None else (whole,)
+
+    def tree(self, raw: bytes) -> tuple[int, ...]:
+        """Halves, joined, down to single bytes."""
+        if len(raw) == 1:
+            return (self.ranks[raw],)
         half = len(raw) // 2
-        return self.join(self.piece(raw[:half]), self.piece(raw[half:]))
+        return self.join(self.parts[raw[:half]], self.parts[raw[half:]])
 
-    def join(self, left: list[int], right: list[int]) -> list[int]:
+    def join(self, left: tuple[int, ...], right: tuple[int, ...]) -> tuple[int, ...]:
         """The encoding of what two encodings of one match spell together."""
         if not left or not right:
             return left + right
-        of, reach = self.bytes_of, 1
+        of, fits, reach = self.bytes_of, self.fits, 1
         while True:
             i, j = max(0, len(left) - reach), min(len(right), reach)
-            raw = b"".join([of[t] for t in left[i:]] + [of[t] for t in right[:j]])
-            window = self.merged(raw)
-            if (not i or self.compatible(left[i - 1], window[0])) and (j == len(right) or self.compatible(window[-1], right[j])):
+            window = self.windows[b"".join([of[t] for t in left[i:] + right[:j]])]
+            if (not i or fits[left[i - 1], window[0]]) and (j == len(right) or fits[window[-1], right[j]]):
                 return left[:i] + window + right[j:]
             reach *= 2
 
-    def compatible(self, a: int, b: int) -> bool:
-        return self.merged(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+    def compatible(self, pair: tuple[int, int]) -> bool:
+        return self.windows[self.bytes_of[pair[0]] + self.bytes_of[pair[1]]] == pair
 
     def matches(self, text: str) -> list[str]:
         """The pattern's matches: halves, joined."""
-        if len(text) <= TEXT:
+        if len(text) <= LEAF:
             return self.pattern.findall(text)
         half = len(text) // 2
         left, right = self.matches(text[:half]), self.matches(text[half:])
         safe = self.safe(left, half)
-        starts, at = {}, half
-        for n, m in enumerate(right):
-            starts[at] = n
-            at += len(m)
         seam: list[str] = []
-        at = sum(map(len, left[safe:]))
-        at = half - at
-        for m in self.pattern.finditer(text, at):
-            if (n := starts.get(m.start())) is not None:
+        n, at = 0, half  # where the right half's next boundary is
+        for m in self.pattern.finditer(text, half - sum(map(len, left[safe:]))):
+            start = m.start()
+            while at < start and n < len(right):
+                at += len(right[n])
+                n += 1
+            if at == start:
                 return left[:safe] + seam + right[n:]
             seam.append(m.group())
         return left[:safe] + seam
@@ -161,8 +143,12 @@ class Tokenizer:
         return list(chain.from_iterable(map(self.known.__getitem__, self.matches(text or ""))))
 
     def decode(self, ids: list[int]) -> bytes:
-        """Bytes of ids; an id outside the vocabulary is an error."""
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+        """Bytes of ids, neighbours joined up the tree; an id outside the vocabulary is an error."""
+        level = list(map(self.bytes_of.__getitem__, ids))
+        while len(level) > 1:
+            odd = level[-1:] if len(level) % 2 else []
+            level = [a + b for a, b in zip(level[::2], level[1::2], strict=False)] + odd
+        return level[0] if level else b""
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -209,9 +195,10 @@ def bpe_decode(docs: DataFrame, path: str, pattern: str, ids_col: str = "token_i
 def bpe_digest(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
     """docs with n_tokens long, ids_sha256 and decoded_sha256 (lowercase hex), after encoding and decoding each text.
 
-    Both digests are taken beside the ids, which are thus never written or shuffled.
+    Both digests are taken beside the ids, which are thus never written or shuffled. A null text counts as empty: no
+    tokens. Rows are independent, so repeated rows come out alike; other columns pass unchanged whatever their names,
+    but input columns named as the three are replaced.
     """
-    from hashlib import sha256
 
     def digest(tokenizer: Tokenizer, text: str | None) -> tuple:
         ids = tokenizer.encode(text)
@@ -220,5 +207,4 @@ def bpe_digest(docs: DataFrame, path: str, pattern: str, text_col: str = "text")
 
     names = ["n_tokens", "ids_sha256", "decoded_sha256"]
     udf = F.pandas_udf(_batched(path, pattern, digest, names), "n_tokens long, ids_sha256 string, decoded_sha256 string")
-    got = docs.withColumn("__bpe", udf(F.col(f"`{text_col}`")))
-    return got.select(*[c for c in docs.columns if c not in names], *[F.col(f"__bpe.{c}").alias(c) for c in names])
+    return with_struct(docs, udf(F.col(f"`{text_col}`").cast("string")), names)

@@ -61,6 +61,21 @@ def text_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name, name or name with underscores behind it, that no column of df has (whatever its letters' case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def with_struct(df: DataFrame, made: Column, names: Sequence[str]) -> DataFrame:
+    """df with the fields of a struct as its last columns; columns of df that have their names are replaced."""
+    held = unused(df, "made")
+    out = {n.lower() for n in names}
+    return df.withColumn(held, made).select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in out], *[F.col(f"`{held}`.{n}").alias(n) for n in names])
+
+
 def numbered(df: DataFrame, within: Sequence[str], order: Sequence[Column], out: str, spread: Column) -> DataFrame:
     """df with column out: a gapless number from 0 in each group of `within`.
 

@@ -26,9 +26,8 @@ def test_halves_join_to_the_whole(ranks, library, monkeypatch, alphabet):
     rnd = random.Random(len(alphabet))
     t = bpe.Tokenizer(ranks, PATTERN)
     for _ in range(250):
-        monkeypatch.setattr(bpe, "TEXT", rnd.choice([4, 8, 16, 64]))
-        monkeypatch.setattr(bpe, "PIECE", rnd.choice([2, 4, 8, 24]))
-        t.known.clear()
+        monkeypatch.setattr(bpe, "LEAF", rnd.choice([4, 8, 16, 64]))
+        monkeypatch.setattr(bpe, "MEMO", rnd.choice([0, 3, 1000]))
         s = "".join(rnd.choice(alphabet) for _ in range(rnd.choice([0, 1, 3, 10, 50, 300])))
         ids = t.encode(s)
         assert ids == library.encode_ordinary(s)
@@ -42,13 +41,32 @@ def test_long_matches(ranks, library):
         assert t.encode(s) == library.encode_ordinary(s)
 
 
-def test_queue_merges_as_the_scan_does(ranks):
+def test_merges_of_windows(ranks):
+    """Against merging by looking through all pairs for the lowest rank, again and again."""
     t = bpe.Tokenizer(ranks, PATTERN)
     rnd = random.Random(2)
     for _ in range(100):
-        raw = bytes(rnd.choice(b"abne ,\xc3\xa9") for _ in range(rnd.randint(2, 90)))
-        if raw not in ranks:
-            assert t._queued(raw) == t.merged(raw)
+        raw = bytes(rnd.choice(b"abne ,\xc3\xa9") for _ in range(rnd.randint(1, 90)))
+        parts = [raw[i : i + 1] for i in range(len(raw))]
+        while True:
+            pairs = [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in ranks]
+            if not pairs:
+                break
+            i = min(pairs)[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        assert t.merged(raw) == t.tree(raw) == tuple(ranks[p] for p in parts)
+
+
+def test_the_tree_needs_no_library(ranks, library):
+    """Every match of the texts by the tree alone, its memory empty before each."""
+    t = bpe.Tokenizer(ranks, PATTERN)
+    for s in ("The quick brown fox, it's said, jumped over 12345 lazy dogs.", "Engeberö geverü auf schö — naïve 漢字 😀"):
+        for m in t.pattern.findall(s):
+            for memo in (t.known, t.parts, t.windows, t.fits):
+                memo.clear()
+            assert list(t.tree(m.encode())) == library.encode_ordinary(m)
+    with open(bpe.__file__) as f:
+        assert "tiktoken" not in f.read()
 
 
 def test_frames(spark, library):
@@ -61,6 +79,9 @@ def test_frames(spark, library):
     assert digest.columns == ["doc_id", "text", "n_tokens", "ids_sha256", "decoded_sha256"]
     assert all(r.n_tokens == len(library.encode_ordinary(r.text or "")) for r in digest.collect())
     assert bpe.bpe_digest(df.limit(0), PATH, PATTERN).count() == 0
+    clash = df.withColumnRenamed("doc_id", "made").withColumnRenamed("n_tokens", "__bpe")
+    assert bpe.bpe_digest(clash, PATH, PATTERN).columns == ["made", "text", "__bpe", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert sorted(r["__bpe"] for r in bpe.bpe_digest(clash, PATH, PATTERN).collect()) == [1, 1, 1, 5, 5]
 
 
 def test_unknown_id_is_an_error(ranks):
