@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator, Sequence
-from contextlib import contextmanager
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,26 +11,16 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
-#: Texts that go to Python at a time where a step runs at once: a batch of long documents is then some megabytes.
-BATCH_ROWS, BATCH_KEY = 512, "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
-@contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """For steps that run inside: batches of BATCH_ROWS at most. The session's own setting holds again afterwards."""
-    own = spark.conf.get(BATCH_KEY)
-    spark.conf.set(BATCH_KEY, str(min(BATCH_ROWS, int(own)) if int(own) > 0 else BATCH_ROWS))
-    try:
-        yield
-    finally:
-        spark.conf.set(BATCH_KEY, own)
-
-
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one only where that is unset, as in tests."""
+    """The folder that spark.checkpoint.dir names. Where that is unset, a temporary one on a local master; elsewhere an error."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+            folder = tempfile.mkdtemp(prefix="checkpoint-")
+        context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
@@ -41,6 +30,39 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Texts that go to Python at a time where a step runs at once: a batch of long documents is then some megabytes.
+#: Elsewhere Spark's own bound holds, spark.sql.execution.arrow.maxBytesPerBatch (64 MB unless it is set).
+BATCH_ROWS, BATCH_KEY = 512, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def _bound(df: DataFrame, spark: SparkSession) -> DataFrame:
+    """The same rows, computed under the settings of another session of the same context."""
+    made = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, df._jdf.queryExecution().analyzed())
+    return DataFrame(made, spark)
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """df, to be computed with batches of BATCH_ROWS at most: in a session of its own, a copy of df's, whose settings no one else sees."""
+    spark = df.sparkSession
+    own = int(spark.conf.get(BATCH_KEY))
+    copy = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+    copy.conf.set(BATCH_KEY, str(min(BATCH_ROWS, own) if own > 0 else BATCH_ROWS))
+    return _bound(df, copy)
+
+
+def checkpointed_in_small_batches(df: DataFrame) -> DataFrame:
+    """checkpointed(df), its texts sent to Python in small batches; the result belongs to df's session."""
+    return _bound(checkpointed(in_small_batches(df)), df.sparkSession)
+
+
+def release(df: DataFrame) -> None:
+    """Delete the files of a checkpointed df that nothing reads any more, such as the state of a round before the last."""
+    plan = df._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() == "LogicalRDD" and (file := plan.rdd().getCheckpointFile()).isDefined():
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -51,6 +73,11 @@ def plan_bytes(df: DataFrame) -> int:
     return size if size < 1 << 56 else 0
 
 
+def parts_for(spark: SparkSession, rows: int, each: int) -> int:
+    """Partitions for so many rows: about `each` in one, and the session's number of shuffle partitions at least."""
+    return max(shuffle_partitions(spark), -(-rows // each))
+
+
 def groups_for(df: DataFrame, group_bytes: int) -> int:
     """A number of hash groups that follows the input: at most about group_bytes of files each, and one for each shuffle partition at least."""
     return max(shuffle_partitions(df.sparkSession), plan_bytes(df) // group_bytes)
@@ -76,15 +103,13 @@ def with_struct(df: DataFrame, made: Column, names: Sequence[str]) -> DataFrame:
     return df.withColumn(held, made).select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in out], *[F.col(f"`{held}`.{n}").alias(n) for n in names])
 
 
-def numbered(df: DataFrame, within: Sequence[str], order: Sequence[Column], out: str, spread: Column) -> DataFrame:
+def numbered(df: DataFrame, within: Sequence[str], order: Sequence[Column], out: str, spread: Column, buckets: int) -> DataFrame:
     """df with column out: a gapless number from 0 in each group of `within`.
 
     No group is sorted in one task: rows are spread over buckets by the hash `spread`, counted by bucket,
     and numbered from their bucket's offset. The order is by bucket, then by `order`. The table of counts has
     groups x buckets rows.
     """
-    spark = df.sparkSession
-    buckets = shuffle_partitions(spark)
     named = df.withColumn("__bucket", F.pmod(spread, F.lit(buckets)).cast("int"))
     keys = [*within, "__bucket"]
     counts = named.groupBy(*keys).agg(F.count("*").alias("__n"))
@@ -119,7 +144,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = large.where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "k")
         small = large.join(least, large.a == least.k).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        edges = checkpointed(small.select("e.a", "e.b").where("a <> b").distinct())
+        before, edges = edges, checkpointed(small.select("e.a", "e.b").where("a <> b").distinct())
+        release(before)
         last, now = now, state(edges)
         if last == now:
             break

@@ -7,6 +7,7 @@ out-of-place distance: the sum over n-grams of how far apart the two ranks are,
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,9 +17,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import with_struct
+
 #: Length of a profile; distinct n-grams of a language that a task holds before it sends them on; characters counted at once.
 PROFILE, HELD, STEP = 300, 1_000_000, 1 << 21
 END = (1 << 21) - 1
+BLANK = re.compile(r"\s")
 _letters: list[np.ndarray] = []
 
 
@@ -48,13 +52,13 @@ def grams(text: str | None) -> np.ndarray:
 
 
 def counted(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams, ascending, and their counts. Long texts are cut behind a word and counted in steps."""
+    """Distinct n-grams, ascending, and their counts. Long texts are cut at white space, where no n-gram and no rule of
+    lower-casing reaches across, and counted in steps: the result is that of the whole."""
     if text and len(text) > STEP:
         parts, at = [], 0
         while at < len(text):
-            end = min(len(text), at + STEP)
-            while end < len(text) and text[end - 1].isalpha() and text[end].isalpha() and end - at < 2 * STEP:
-                end += 1
+            blank = BLANK.search(text, at + STEP)
+            end = blank.end() if blank else len(text)
             parts.append(_distinct(text[at:end]))
             at = end
         return _summed(parts)
@@ -163,5 +167,4 @@ def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> Dat
     def predict(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([profiles.predict(t) for t in texts], columns=["lang_pred", "score"])
 
-    got = docs.withColumn("__lang", predict(F.col(f"`{text_col}`").cast("string")))
-    return got.select(*[c for c in docs.columns if c not in ("lang_pred", "score")], "__lang.lang_pred", "__lang.score")
+    return with_struct(docs, predict(F.col(f"`{text_col}`").cast("string")), ["lang_pred", "score"])

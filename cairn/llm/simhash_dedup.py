@@ -17,10 +17,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, components, small_batches, text_table
+from .common import checkpointed, checkpointed_in_small_batches, components, parts_for, text_table, unused
 
-#: Shingles whose bits are held at once.
-STEP = 1 << 16
+#: Shingles whose bits are held at once; fingerprints whose variants one task emits, about.
+STEP, POINTS = 1 << 16, 20_000
 
 
 def fingerprints(texts: Sequence[str | None], shingle: int = 3) -> np.ndarray:
@@ -82,7 +82,7 @@ def with_fingerprint(docs: DataFrame, out: str = "fp", text_col: str = "text", s
         for s in batches:
             yield pd.Series(fingerprints(s, shingle), dtype="int64")
 
-    return docs.withColumn(out, fingerprint(F.col(f"`{text_col}`")))
+    return docs.withColumn(out, fingerprint(F.col(f"`{text_col}`").cast("string")))
 
 
 def ball_links(points: DataFrame) -> DataFrame:
@@ -104,10 +104,10 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     bits or fewer, its own included; rows whose id is null belong to a component but never name it (if no member has
     an id, it is null). Repeated rows come out as often as they come in.
     """
-    with small_batches(docs.sparkSession):
-        marked = checkpointed(with_fingerprint(text_table(docs, id_col, text_col), "fp", "text", shingle).select("doc_id", "fp"))
-    points = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(ball_links(points.select("fp")))
+    marked = checkpointed_in_small_batches(with_fingerprint(text_table(docs, id_col, text_col), "fp", "text", shingle).select("doc_id", "fp"))
+    points = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    spread = points.select("fp").repartition(parts_for(docs.sparkSession, points.count(), POINTS), "fp")  # by what will be emitted, not by what is read
+    roots = components(ball_links(spread))
     named = points.join(roots, points.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
     return marked.join(named.join(smallest, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
@@ -120,7 +120,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     parts = simhash_components(docs, id_col, text_col)
     best = checkpointed(parts.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")))
-    kept = docs.join(best.select(F.col("doc_id").alias("__kept")), F.col(f"`{id_col}`") == F.col("__kept"), "left_semi")
+    name = unused(docs, "first")
+    kept = docs.join(best.select(F.col("doc_id").alias(name)), F.col(f"`{id_col}`") == F.col(name), "left_semi")
     if best.where("n > 1").limit(1).count():
         kept = kept.dropDuplicates([id_col])
     return kept.unionByName(docs.where(F.col(f"`{id_col}`").isNull()))

@@ -10,7 +10,9 @@ Consecutive windows with one minimiser travel as one packed string to the minimi
    (so thousands of copies of a passage leave a home as one), and sends them to buckets, compressed by bucket.
 3. A bucket numbers its words exactly, sorts the windows, compares neighbours word for word and so knows every
    window's smallest doc_id. It answers only the homes whose documents have something to remove.
-4. Each home meets its answers and drops the covered words.
+4. Each home meets its answers and drops the covered words. It knows its strings again by 128 bits of hash (xxh3):
+   here alone are no words compared, and two different strings of one home that share all 128 bits would be taken for
+   one another.
 
 A passage that is in a third of all documents thus reaches its bucket once a home, not once a document. A minimiser
 that stands in very many different contexts would still fill one bucket: these are counted over the whole input
@@ -29,10 +31,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, groups_for, small_batches
+from .common import checkpointed_in_small_batches, groups_for, shuffle_partitions
 
-#: Files' bytes in one home, text bytes in one step of a home, windows that one packed string holds at most, and how hard these are pressed.
-HOME_BYTES, BLOCK_BYTES, RUN, LEVEL = 2 << 20, 3 << 20, 64, 5
+#: Homes, or buckets, in one task; files' bytes in one home, text bytes in one step of a home, windows that one packed string holds at most, and how hard these are pressed.
+TASK_HOMES, HOME_BYTES, BLOCK_BYTES, RUN, LEVEL = 8, 2 << 20, 3 << 20, 64, 5
 #: Bytes of a word beyond which it is hashed on its own.
 LONG = 256
 #: Contexts beyond which a minimiser's windows are spread, or that share of all; contexts in one task that are reported; pairs held in a task.
@@ -183,8 +185,7 @@ def _contexts(k: int, m: int):
 
 def hot_minimisers(texts: DataFrame, k: int, m: int) -> np.ndarray:
     """Minimisers (hashes) that stand in more than HOT contexts and more than HOT_SHARE of all: at most 1 / HOT_SHARE of them."""
-    with small_batches(texts.sparkSession):
-        counts = checkpointed(texts.mapInArrow(_contexts(k, m), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
+    counts = checkpointed_in_small_batches(texts.mapInArrow(_contexts(k, m), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
     total = counts.where("key is null").select("n").first()
     most = max(HOT, HOT_SHARE * total.n if total else 0)
     return np.array([r.key for r in counts.where("key is not null").where(F.col("n") > most).collect()], np.int64).view(U)
@@ -354,14 +355,14 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns pass unchanged, whatever their names; input columns named n_words or n_removed are replaced.
     """
     homes = groups_for(docs, HOME_BYTES)
-    buckets = homes
+    buckets, tasks = homes, max(shuffle_partitions(docs.sparkSession), homes // TASK_HOMES)
     others = [c for c in docs.columns if c not in (id_col, text_col, *OUT)]
     kept = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)]) if others else F.lit(0)
     raw = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), kept.alias("rest"))
-    keyed = raw.withColumn("home", F.pmod(F.xxhash64("doc_id", "text"), F.lit(homes)))
+    keyed = raw.withColumn("home", F.pmod(F.xxhash64("doc_id", "text"), F.lit(homes))).repartition(tasks, "home")  # tasks follow the input, whatever the session says
     hot = hot_minimisers(raw.select("doc_id", "text"), window, minimiser)
     sent = keyed.groupBy("home").applyInArrow(_emit(window, minimiser, buckets, hot), "bucket int, home long, strings binary, ids binary")
-    answers = sent.groupBy("bucket").applyInArrow(_count(window), "home long, digests binary, minima binary")
+    answers = sent.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_count(window), "home long, digests binary, minima binary")
     names = ["doc_id", "text", "rest", "n_words", "n_removed"]
     schema = f"doc_id long, text string, rest {keyed.schema['rest'].dataType.simpleString()}, n_words long, n_removed long"
     out = keyed.groupBy("home").cogroup(answers.groupBy("home")).applyInArrow(_resolve(window, minimiser, names, hot), schema)

@@ -1,7 +1,9 @@
 """Language ID and toxicity, on made-up and on given tables."""
 
+import math
 import random
 import zlib
+from collections import Counter
 
 import pytest
 
@@ -50,16 +52,68 @@ def test_profiles_match_a_plain_count(spark):
         best = sorted(counts, key=lambda g: (-counts[g], g))[: language_id.PROFILE]
         ranks = profiles.ranks[i]
         got = [int(profiles.grams[j]) for j in sorted((j for j in range(len(profiles.grams)) if ranks[j] >= 0), key=lambda j: ranks[j])]
-        # a blank between two words is one character, and belongs to both
-        assert len(got) == len(best) and set(got) == set(best)
+        assert got == best  # a blank between two words is one character, and belongs to both
+
+
+def plain_grams(text):
+    """Counts of n-grams, word by word."""
+    counts, words, word = {}, [], ""
+    for c in text.lower() + " ":
+        if c.isalpha():
+            word += c
+        elif word:
+            words.append(word)
+            word = ""
+    for i, w in enumerate(words):
+        for n, padded in ((1, w), (2, f" {w}" + (" " if i == len(words) - 1 else "")), (3, f" {w} ")):
+            for j in range(len(padded) - n + 1):
+                counts[padded[j : j + n]] = counts.get(padded[j : j + n], 0) + 1
+        if i < len(words) - 1:
+            counts[w[-1] + " "] = counts.get(w[-1] + " ", 0) + 1
+    return counts
+
+
+def code(gram):
+    out = 0
+    for c in gram:
+        out = out << 21 | (0 if c == " " else ord(c))
+    for _ in range(3 - len(gram)):
+        out = out << 21 | language_id.END
+    return out
+
+
+def ranked(counts):
+    return sorted(counts, key=lambda g: (-counts[g], code(g)))[: language_id.PROFILE]
+
+
+def test_distances_against_brute_force(spark):
+    """Profiles, their order, out-of-place distances, the choice and its score, all recomputed."""
+    docs = {r.doc_id: r for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    totals = {}
+    for i, r in docs.items():
+        if r.lang is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            own = totals.setdefault(r.lang, {})
+            for g, n in plain_grams(r.text or "").items():
+                own[g] = own.get(g, 0) + n
+    profiles = {lang: {g: k for k, g in enumerate(ranked(counts))} for lang, counts in totals.items()}
+    for r in queries.op4_language_id(spark, "/root/testdata/sf0.001").collect():
+        own = ranked(plain_grams(docs[r.doc_id].text or ""))
+        if not own:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        far = {lang: sum(min(language_id.PROFILE, abs(p[g] - k)) if g in p else language_id.PROFILE for k, g in enumerate(own)) for lang, p in profiles.items()}
+        best = min(sorted(far), key=far.get)
+        assert r.lang_pred == best
+        assert r.score == pytest.approx(1 - far[best] / (language_id.PROFILE * len(own)))
 
 
 def test_long_texts_are_counted_whole(monkeypatch):
-    text = " ".join(t for _, t, _ in made(40, 3))
+    text = " ".join(t for _, t, _ in made(40, 3)) + " " + "x" * 500 + "\nΟΔΟΣ' ΣΑΣ.Σ  1 ab2cd\t\u0130" * 9
     whole = language_id.counted(text)
-    monkeypatch.setattr(language_id, "STEP", 100)
-    parts = language_id.counted(text)
-    assert (whole[0] == parts[0]).all() and abs(int(whole[1].sum()) - int(parts[1].sum())) <= 2 * len(text) // 100
+    for step in (1, 7, 100):
+        monkeypatch.setattr(language_id, "STEP", step)
+        parts = language_id.counted(text)
+        assert (whole[0] == parts[0]).all() and (whole[1] == parts[1]).all()
 
 
 def test_language_held_out_accuracy(spark):
@@ -93,16 +147,57 @@ def test_toxicity_edges(spark):
     assert toxicity.score_toxicity(docs.limit(0), model).count() == 0
 
 
-def test_counts_merge_like_one_pass(spark):
-    texts = [(i, f"w{i % 7} w{i % 3} x") for i in range(50)]
-    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
-    labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, toxic int")
+def brute_ratios(rows, folds):
+    """log P(word | toxic) - log P(word | ordinary), from sets of pairs of words; the last is that of an unknown word."""
+    pairs = {0: set(), 1: set()}
+    for i, text, label in rows:
+        if zlib.crc32(str(i).encode()) % 5 in folds:
+            words = toxicity.WORD.findall(text.lower())
+            pairs[label] |= set(zip([None, *words[:-1]], words, strict=False))
+    count = [Counter(w for _, w in pairs[c]) for c in (0, 1)]
+    either = Counter(w for _, w in pairs[0] | pairs[1])
+
+    def p(c, w):
+        n, freed = sum(count[c].values()), sum(min(2, k) for k in count[c].values())
+        return (max(count[c][w] - 2, 0) + freed * (either[w] + 1) / (sum(either.values()) + len(either) + 1)) / n
+
+    return {w: math.log(p(1, w) / p(0, w)) for w in [*either, "never"]}, p, either
+
+
+def test_probabilities_against_brute_force(spark):
+    rnd = random.Random(31)
+    rows = [(i, " ".join(rnd.choice("ABCDEF")[: rnd.randint(0, 1)] + rnd.choice("abcdefgh") * rnd.randint(1, 2) for _ in range(rnd.randint(0, 12))), i % 2) for i in range(120)]
+    rows += [(i, rows[3][1], 1) for i in range(500, 560)]  # copies
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, c) for i, _, c in rows], "doc_id long, toxic int")
     model = toxicity.train(docs, labels)
-    one = toxicity.Counts()
-    for i, t in texts:
-        if zlib.crc32(str(i).encode()) % 5 in (1, 2, 3):
-            one.add(toxicity.word_hashes(t), i % 2)
-    assert model.ratio == pytest.approx(toxicity.Model(one.rows).ratio)
+    for view, folds in ((0, (1, 2, 3, 4)), (2, (1, 3, 4))):
+        expected, p, either = brute_ratios(rows, folds)
+        assert sum(p(0, w) for w in either) + p(0, "never") == pytest.approx(1)  # with one place for what is unknown
+        if view == 0:
+            for w, r in expected.items():
+                assert model.ratios(toxicity.word_hashes(w))[0] == pytest.approx(r, abs=1e-5), w
+    long = " ".join(t for _, t, _ in rows[:9])
+    r = [expected_0[w] for expected_0 in [brute_ratios(rows, (1, 2, 3, 4))[0]] for w in toxicity.WORD.findall(long.lower())]
+    got = toxicity.spans(model.ratios(toxicity.word_hashes(long)), 5)
+    assert got == pytest.approx([sum(r[i : i + 5]) / 5 for i in range(len(r) - 4)], abs=1e-5)
+    assert toxicity.spans(model.ratios(toxicity.word_hashes("never ever")), 5) == pytest.approx([2 * expected["never"] / 5], rel=0.5)
+
+
+def test_counts_by_view_against_brute_force(spark):
+    rnd = random.Random(32)
+    rows = [(i, " ".join(rnd.choice("abcde") for _ in range(rnd.randint(0, 9))), rnd.randint(1, 4), i % 2) for i in range(60)]
+    pairs = toxicity.Pairs()
+    for _, t, f, c in rows:
+        pairs.add(toxicity.word_hashes(t), c, f)
+    word, _, bits = pairs.distinct()
+    words, counts = toxicity.counts_of(word, bits)
+    known = {int(toxicity.word_hashes(w)[0]): w for w in "abcde"}
+    for v in toxicity.VIEWS:
+        for j, classes in enumerate(((0,), (1,), (0, 1))):
+            seen = {(a, b) for _, t, f, c in rows if f != v and c in classes for a, b in zip([None, *t.split()[:-1]], t.split(), strict=False)}
+            for h, n in zip(words.tolist(), counts[3 * v + j], strict=True):
+                assert n == sum(b == known[h] for _, b in seen)
 
 
 def labelled(n, seed, size=40):
@@ -124,30 +219,20 @@ def test_long_ordinary_texts_stay_ordinary(spark):
     assert all(model.score(toxicity.word_hashes(t)) >= 0.5 for i, t in held if i % 4 == 0)
 
 
-def test_words_and_neighbours_are_counted_exactly():
-    counts = toxicity.Counts()
-    for i in range(2000):
-        counts.add(toxicity.word_hashes(f"{letters(i)} same"), i % 2)
-    rows = counts.rows
-    assert rows.shape == (4, 2001) and rows[1:3].sum() == 4000
-    same = rows[:, rows[0].view("u8") == toxicity.word_hashes("same")[0]][:, 0]
-    assert same[1:].tolist() == [1000, 1000, 2000]
-
-
-def letters(i):
-    return "".join(chr(97 + int(c)) for c in str(i)) + "z"
+def test_repeated_passages_count_once(spark):
+    """A word that stands in one passage of many toxic texts says nothing; one that stands among many words does."""
+    rnd = random.Random(14)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(400)]
+    rows = [(i, " ".join([*(rnd.choice(words) for _ in range(20)), *(["shared passage here"] * (i % 4 == 0)), rnd.choice(words), *(["vile", rnd.choice(words)] * (i % 4 == 0))])) for i in range(400)]
+    model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int"))
+    vile, passage = (model.ratios(toxicity.word_hashes(w))[0] for w in ("vile", "passage"))
+    assert vile > model.rare + 1 and passage == pytest.approx(model.rare, abs=1e-5)
 
 
 def test_all_training_folds_are_counted(spark):
     rows, labels = labelled(300, 13)
-    only = [i for i, _ in rows if i % 4 == 0 and zlib.crc32(str(i).encode()) % 5 == 4]
-    rows = [(i, t + " foul" if i in only else t) for i, t in rows]
-    model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
-    foul = toxicity.word_hashes("foul")
-    assert model.strengths(foul)[1] > 0 and foul[0] not in model.words
-    one = toxicity.Counts()
-    for i, t in rows:
-        if zlib.crc32(str(i).encode()) % 5:
-            one.add(toxicity.word_hashes(t), int(i % 4 == 0))
-    whole = toxicity.Model(one.rows)
-    assert (whole.words == model.whole[0]).all() and model.whole[1] == pytest.approx(whole.ratio)
+    for f in (1, 2, 3, 4):
+        only = [i for i, _ in rows if i % 4 == 0 and zlib.crc32(str(i).encode()) % 5 == f]
+        marked = [(i, t.replace(" ", f" foul x{i % 26 * 'y'}z ") if i in only else t) for i, t in rows]
+        model = toxicity.train(spark.createDataFrame(marked, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+        assert model.ratios(toxicity.word_hashes("foul"))[0] > model.rare

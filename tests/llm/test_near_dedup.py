@@ -91,6 +91,6 @@ def test_keep_first(spark):
 
 def test_numbered(spark):
     df = spark.range(500).select((F.col("id") % 3).alias("g"), "id")
-    got = common.numbered(df, ["g"], [F.col("id")], "n", F.xxhash64("id")).collect()
+    got = common.numbered(df, ["g"], [F.col("id")], "n", F.xxhash64("id"), 4).collect()
     for g in range(3):
         assert sorted(r.n for r in got if r.g == g) == list(range(sum(i % 3 == g for i in range(500))))
