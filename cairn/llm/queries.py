@@ -43,18 +43,22 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An archive of all pages, audited against a replica in which some records were changed and some lost."""
+    """An archive of all pages, audited against a replica in which some records were changed and some lost.
+
+    A replica's record lies where the archive has it: repeated pages are one record, pages that share an id are several,
+    a null id is an id like any other.
+    """
     from .common import checkpointed
     from .warc_fixity import audit, record_text, records
 
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     archive = checkpointed(records(pages))
-    changed = pages.withColumn("html", F.when(F.col("page_id") % 61 == 7, F.reverse("html")).otherwise(F.col("html")))
-    kept = changed.where(F.coalesce(F.col("page_id") % 97 != 11, F.lit(True)))
-    text = record_text(F.col("page_id"), F.col("url"), F.col("html"))
-    copies = kept.select("page_id", F.sha2(text, 256).alias("digest"), F.octet_length(text).cast("long").alias("length"))
-    places = archive.select("page_id", "file", "offset")
-    replica = checkpointed(copies.join(places, "page_id").select("file", "offset", "length", "digest"))
+    html = F.when(F.col("page_id") % 61 == 7, F.reverse("html")).otherwise(F.col("html"))
+    kept = pages.where(F.coalesce(F.col("page_id") % 97 != 11, F.lit(True)))
+    own, copy = (record_text(F.col("page_id"), F.col("url"), x) for x in (F.col("html"), html))
+    copies = kept.select(F.col("page_id").cast("long").alias("p"), F.sha2(own, 256).alias("d"), F.sha2(copy, 256).alias("digest"), F.octet_length(copy).cast("long").alias("length")).distinct()
+    places = archive.select("page_id", F.col("digest").alias("was"), "file", "offset")
+    replica = checkpointed(copies.join(places, F.col("p").eqNullSafe(F.col("page_id")) & (F.col("d") == F.col("was"))).select("file", "offset", "length", "digest"))
     found = audit(archive, replica)
     return archive.join(found, ["file", "offset"], "left").select("page_id", F.col("length").alias("n_bytes"), F.col("digest").alias("sha256"), F.coalesce("status", F.lit("intact")).alias("status"))
 
@@ -133,10 +137,10 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, ro
 """
 
 _OP5 = """
-WITH r AS (SELECT DISTINCT page_id, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10)
+WITH r AS (SELECT DISTINCT page_id, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), '') || '>' || chr(13) || chr(10)
     || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10)
     || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS t FROM pages)
-SELECT page_id, CAST(strlen(t) AS BIGINT) AS n_bytes, sha256(t) AS sha256, CASE WHEN page_id % 97 = 11 THEN 'missing' WHEN page_id % 61 = 7 THEN 'corrupt' ELSE 'intact' END AS status FROM r
+SELECT page_id, CAST(strlen(t) AS BIGINT) AS n_bytes, sha256(t) AS sha256, CASE WHEN page_id % 97 = 11 THEN 'missing' WHEN page_id % 61 = 7 AND reverse(html) <> html THEN 'corrupt' ELSE 'intact' END AS status FROM r
 """
 
 SQL: dict[str, str] = {"op1_substring_dedup": _OP1, "op2_voronoi_knn": _OP2, "op5_warc_fixity": _OP5, "op6_decontaminate": _OP6}

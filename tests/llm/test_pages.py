@@ -1,11 +1,14 @@
 """HTML extraction and WARC fixity."""
 
+import hashlib
 import re
+import time
 from html import unescape
 
 import pytest
 
 from cairn.llm import html_extract as hx
+from cairn.llm import queries
 from cairn.llm import warc_fixity as wf
 
 DATA = "/root/testdata/sf0.01"
@@ -47,6 +50,51 @@ def test_cases(html):
         assert "good words" in hx.extract(html)
 
 
+PARA = "<p>First words of it, which are many, and go on.</p><p>More words, and more, that matter.</p>"
+FIRST = "First words of it, which are many, and go on.\nMore words, and more, that matter."
+
+
+@pytest.mark.parametrize("name", "post-comments comment-content article-footer page-header main-menu entry-related story-share sidebarAd commentList".split())
+@pytest.mark.parametrize("around", ["article", "div"])
+def test_furniture_by_class(name, around):
+    if name == "sidebarAd":
+        assert hx.furniture("sidebarAd")
+    block = f"<div class='{name}'><p>Leak, leak, and more leaks, as long as an article may be, or longer.</p></div>"
+    assert hx.extract(f"<body><{around}>{PARA}</{around}>{block}</body>") == FIRST
+    assert hx.extract(f"<body><{around}>{PARA}{block}</{around}></body>") == FIRST
+
+
+def test_classes_that_name_what_is_beside():
+    for name in ("has-sidebar", "post no-comments", "content with-ads", "category-social"):
+        assert hx.extract(f"<body><div class='{name}'>{PARA}</div></body>") == FIRST
+    assert hx.extract(f"<div class='sidebar'>{PARA}</div>") == FIRST  # nothing else is there
+    assert hx.extract(f"<article class='post tag-social'>{PARA}</article><article class='comment-body'><p>c, c</p></article>") == FIRST
+
+
+def test_all_of_an_article_is_kept():
+    second = "<p>Second, and longer, and longer than the first, with commas, and commas</p>"
+    plain = "Second, and longer, and longer than the first, with commas, and commas"
+    assert hx.extract(f"<body><article>{PARA}</article><article>{second}</article></body>") == f"{FIRST}\n{plain}"
+    assert hx.extract(f"<div><div>{PARA}</div><div>Short.</div><div>{second}</div><ul><li><a href=x>only a link</a></ul></div>") == f"{FIRST}\nShort.\n{plain}"
+    assert hx.extract(f"<main><h1>T</h1><article>{PARA}</article></main>") == f"T\n{FIRST}"
+    assert hx.extract("<div><div><p>" + "x" * 300 + "</p><p>" + "y" * 300 + "</p></div><p>z</p></div>") == "\n".join(["x" * 300, "y" * 300, "z"])
+
+
+def test_letters_that_grow_in_lower_case():
+    assert hx.extract("\u0130" * 60 + "<script>x = '<p>'</SCRIPT ><p>One, two</p><p>three</p>") == "\u0130" * 60 + "\nOne, two\nthree"
+
+
+@pytest.mark.parametrize("page", [lambda n: "<b>" * n + "</i>" * n, lambda n: "<div>" + "<b>" * n + "<hr>" * n, lambda n: "<ul>" + "<div>" * n + "<li>x" * n, lambda n: '<a ">" ' * n, lambda n: "<a x" * n, lambda n: "<b><div>" * n + "</b>" * n, lambda n: "<p>" * n + "<span>" * n + "</p>" * n])
+def test_time_follows_the_page(page):
+    def took(n):
+        html = page(n)
+        began = time.process_time()
+        hx.parse(html)
+        return time.process_time() - began
+
+    assert took(80_000) < 16 * max(took(10_000), 0.05)  # 64 and more if quadratic
+
+
 def test_frame(spark):
     rows = [(1, "u", None, "t"), (2, "u", "", "t"), (3, None, "<p>x</p>", "t"), (3, None, "<p>x</p>", "t"), (4, "u", "<div>" * 3000 + "<p>deep, deep</p>", "t"), (5, "u", "<p>" + "word " * 50_000, "t")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
@@ -89,3 +137,23 @@ def test_archive_round_trip(spark, monkeypatch):
     with pytest.raises(ValueError, match="breaks off|no WARC"):
         list(wf.parse(content[:-30]))
     assert wf.records(pages.limit(0)).count() == 0
+
+
+def test_query_on_repeated_and_null_ids(spark, tmp_path):
+    """Which pages are changed and lost follows from their ids: each record's status is known beforehand."""
+    rows = [(1, "u", "<p>a</p>"), (1, "v", "<p>b</p>"), (1, "u", "<p>a</p>"), (None, "n", "<p>null</p>"), (None, None, None), (7, "u", "<p>odd</p>"), (7, "w", None), (7, "x", "aba"), (11, "u", "<p>lost</p>"), (11, "v", "<p>too</p>"), *[(i, f"u{i}", f"<p>{i}</p>") for i in range(20, 200)]]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = [(r.page_id, r.sha256, r.status) for r in queries.op5_warc_fixity(spark, str(tmp_path)).collect()]
+    distinct = set(rows)
+    assert len(got) == len(distinct) == len(set(got))
+
+    def digest(i, url, html):
+        raw = (html or "").encode()
+        return hashlib.sha256(f"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:{'' if i is None else i}>\r\nWARC-Target-URI: {url or ''}\r\nContent-Type: text/html\r\nContent-Length: {len(raw)}\r\n\r\n".encode() + raw + b"\r\n\r\n").hexdigest()
+
+    def status(i, url, html):
+        if i is not None and i % 97 == 11:
+            return "missing"
+        return "corrupt" if i is not None and i % 61 == 7 and html and html != html[::-1] else "intact"
+
+    assert set(got) == {(i, digest(i, u, h), status(i, u, h)) for i, u, h in distinct}
