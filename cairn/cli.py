@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .operators import listing, reconcile, rollup, trie
 from .plans.session import session
 from .plans.simulate import STRATEGIES, result_line
-from .sources.listings import read_inventory, read_jsonl
+from .sources.listings import read_inventory, read_jsonl, write_jsonl
 from .sources.snapshot import read_snapshot, write_snapshot
 from .sources.synthetic import generate
 from .sources.table import InventoryTable
@@ -32,8 +32,9 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("bucket")
     c.add_argument("--prefix", default="")
     c.add_argument("--max-depth", type=int, default=3)
-    c.add_argument("--region", default="")
+    c.add_argument("--region", default="", help="default: asked of the bucket")
     c.add_argument("--endpoint", default="")
+    c.add_argument("--workers", type=int, default=32, help="directories that are probed at a time")
     c = add("gen", "make the demonstration inventory")
     c.add_argument("--seed", type=int, default=1)
     c.add_argument("--scale", type=int, default=1)
@@ -51,8 +52,16 @@ def parser() -> argparse.ArgumentParser:
     c = add("rm", "delete a prefix from the table; a dry run unless --yes repeats the prefix")
     c.add_argument("prefix")
     c.add_argument("--yes", default="", metavar="PREFIX")
-    c = add("export", "write a binary snapshot file")
+    c.add_argument("--bucket", default="", help="delete in this live bucket, too")
+    c.add_argument("--region", default="")
+    c.add_argument("--endpoint", default="")
+    c.add_argument("--allow-versioned", action="store_true")
+    c.add_argument("--workers", type=int, default=8)
+    c.add_argument("--batch-size", type=int, default=1000)
+    c = add("export", "write a binary snapshot file, or JSON lines of the first objects in key order")
     c.add_argument("path")
+    c.add_argument("--format", choices=("snapshot", "jsonl"), default="snapshot")
+    c.add_argument("--limit", type=int, default=0, help="objects at most; 0: all")
     return p
 
 
@@ -64,7 +73,7 @@ def show(df: DataFrame, out) -> None:
         print("\t".join("" if v is None else str(v) for v in r), file=out)
 
 
-def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=sys.stdout) -> int:
+def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=sys.stdout, store=None) -> int:
     args = parser().parse_args(argv)
     spark = spark or session()
     table = InventoryTable(spark, args.table)
@@ -73,10 +82,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=s
         table.save(reconcile.deduped(read(spark, args.source)))
     elif args.command == "scan":
         from .sources.listings import normalised
-        from .sources.live import ListingSource
+        from .sources.live import ListingSource, S3Bucket, region_of
 
         spark.dataSource.register(ListingSource)
-        options = {"bucket": args.bucket, "prefix": args.prefix, "max_depth": str(args.max_depth)} | {k: v for k, v in (("region", args.region), ("endpoint", args.endpoint)) if v}
+        region = args.region or region_of(S3Bucket(None, args.endpoint or None), args.bucket, None, args.endpoint)
+        options = {"bucket": args.bucket, "prefix": args.prefix, "max_depth": str(args.max_depth), "workers": str(args.workers)} | {k: v for k, v in (("region", region), ("endpoint", args.endpoint)) if v}
         table.save(reconcile.deduped(normalised(spark.read.format("listing").options(**options).load())))
     elif args.command == "gen":
         table.save(generate(spark, args.seed, args.scale))
@@ -93,13 +103,18 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=s
         for name in STRATEGIES if args.strategy == "all" else [args.strategy]:
             print(result_line(STRATEGIES[name](table.load(), max_depth=args.max_depth).first()), file=out)
     elif args.command == "rm":
-        guards = reconcile.DeleteGuards(args.prefix, confirm=args.yes, dry_run=not args.yes)
+        guards = reconcile.DeleteGuards(args.prefix, confirm=args.yes, dry_run=not args.yes, allow_versioned=args.allow_versioned, batch_size=args.batch_size, workers=args.workers)
+        if args.bucket:
+            from .sources.live import S3Bucket, delete_in_bucket
+
+            show(delete_in_bucket(table.load(), store or S3Bucket(args.region or None, args.endpoint or None), args.bucket, guards), out)
         left, stats = reconcile.delete_prefix(table.load(), guards)
         show(stats, out)
         if not guards.dry_run:
             table.save(left)
     elif args.command == "export":
-        write_snapshot(table.load(), args.path)
+        rows = table.load().orderBy("key").limit(args.limit) if args.limit else table.load()
+        (write_snapshot if args.format == "snapshot" else write_jsonl)(rows, args.path)
     return 0
 
 

@@ -85,3 +85,8 @@ def length_bucket(n: Column) -> Column:
 def fan_bucket(n: Column) -> Column:
     """0, 1, 2, 3, 4, 5-7, 8-15, 16-31, more."""
     return F.when(n <= 4, n).when(n <= 7, 5).otherwise(F.least(F.lit(8), F.floor(F.log2(n.cast("double"))) + 3)).cast("int")
+
+
+def stamp(ts: Column) -> Column:
+    """A time as it stands in names of files."""
+    return F.date_format(ts, "yyyyMMdd-HHmmss")

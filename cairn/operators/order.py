@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..plans.session import stored
+from ..plans.session import parts_of, stored
 
 
 def positions(rows: DataFrame, *order: str | Column) -> DataFrame:
@@ -16,7 +16,7 @@ def positions(rows: DataFrame, *order: str | Column) -> DataFrame:
     from an offset summed over the ranges' counts, a row each.
     """
     order = order or ("key",)
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = parts_of(rows)
     dealt = stored(rows.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()))
     counts = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
     ahead = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)

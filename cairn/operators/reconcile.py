@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.keys import check_prefix, depth, parent_of
-from ..plans.session import stored
+from ..plans.session import parts_of, stored
 from .listing import list_directory
 from .rollup import directories
 
@@ -78,28 +78,41 @@ def apply_batch(objects: DataFrame, batch: DataFrame, start_from: str, hi: str |
 
 def merge_actions(objects: DataFrame, batch: DataFrame, start_from: str, hi: str | None = None) -> DataFrame:
     """(key, action, o_size, o_class, n_size, n_class) for the range of a batch: insert, update, delete or keep."""
-    hi = batch_bounds(batch) if hi is None else hi
-    held = objects.where(in_range(start_from, hi) if hi is not None else F.lit(False))
+    held = held_in(objects, batch, start_from, hi)
     old = held.select("key", F.col("size").alias("o_size"), F.col("class").alias("o_class"))
     new = batch.select("key", F.col("size").alias("n_size"), F.col("class").alias("n_class"))
     action = F.when(F.col("n_size").isNull(), "delete").when(F.col("o_size").isNull(), "insert").when(F.expr(CHANGED), "update").otherwise("keep")
     return old.join(new, "key", "full_outer").select("key", action.alias("action"), "o_size", "o_class", "n_size", "n_class")
 
 
-def inserts(objects: DataFrame, batch: DataFrame) -> DataFrame:
-    return batch.join(objects.select("key"), "key", "left_anti").select("key", "size", "class")
+def held_in(objects: DataFrame, batch: DataFrame, start_from: str, hi: str | None = None) -> DataFrame:
+    """Objects in the range that a batch owns: what a comparison with the batch may read. None for an empty batch.
+
+    The range is two literals, so the scan skips files and row groups outside it.
+    """
+    hi = batch_bounds(batch) if hi is None else hi
+    return objects.where(in_range(start_from, hi) if hi is not None else F.lit(False))
+
+
+def inserts(objects: DataFrame, batch: DataFrame, start_from: str, hi: str | None = None) -> DataFrame:
+    held = held_in(objects, batch, start_from, hi)
+    return batch.join(held.select("key"), "key", "left_anti").select("key", "size", "class")
 
 
 def deletes(objects: DataFrame, batch: DataFrame, start_from: str, hi: str | None = None) -> DataFrame:
-    hi = batch_bounds(batch) if hi is None else hi
-    if hi is None:
-        return objects.limit(0)
-    return objects.where(in_range(start_from, hi)).join(batch.select("key"), "key", "left_anti").select("key", "size", "class")
+    held = held_in(objects, batch, start_from, hi)
+    return held.join(batch.select("key"), "key", "left_anti").select("key", "size", "class")
+
 
+def common(objects: DataFrame, batch: DataFrame, start_from: str, hi: str | None = None) -> DataFrame:
+    """(key) of objects in a batch's range that the batch holds too."""
+    return held_in(objects, batch, start_from, hi).select("key").join(batch.select("key"), "key", "left_semi").distinct()
 
-def updates(objects: DataFrame, batch: DataFrame) -> DataFrame:
+
+def updates(objects: DataFrame, batch: DataFrame, start_from: str, hi: str | None = None) -> DataFrame:
     """(key, o_size, o_class, n_size, n_class) of keys in both that differ."""
-    old = objects.select("key", F.col("size").alias("o_size"), F.col("class").alias("o_class"))
+    held = held_in(objects, batch, start_from, hi)
+    old = held.select("key", F.col("size").alias("o_size"), F.col("class").alias("o_class"))
     new = batch.select("key", F.col("size").alias("n_size"), F.col("class").alias("n_class"))
     return old.join(new, "key").where(CHANGED)
 
@@ -131,7 +144,7 @@ def owners(objects: DataFrame, batches: DataFrame) -> DataFrame:
     dealt by ranges together and kept, each key looks back to the last start, and a range's first keys to the last start
     of an earlier range, a row each.
     """
-    n = int(objects.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = parts_of(objects)
     held = F.struct("batch", "last_key")
     starts = batches.select(F.col("start_from").alias("k"), F.lit(1).alias("kind"), held.alias("b"))
     rows = objects.select(F.col("key").alias("k"), F.lit(0).alias("kind")).unionByName(starts, allowMissingColumns=True)

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from ..functions.keys import as_bytes, common_length, from_bytes
 from ..functions.text import fan_bucket, length_bucket
-from ..plans.session import stored
+from ..plans.session import parts_of, stored
 
 
 def with_neighbours(rows: DataFrame, col: str, both: bool = True) -> DataFrame:
@@ -23,7 +23,7 @@ def with_neighbours(rows: DataFrame, col: str, both: bool = True) -> DataFrame:
     Rows are dealt by ranges and kept, so that ranges do not change. Only the ends of ranges, a row each, are ordered
     in one task.
     """
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = parts_of(rows)
     dealt = stored(rows.repartitionByRange(n, col).withColumn("__part", F.spark_partition_id()))
     ends = dealt.groupBy("__part").agg(F.min(col).alias("lo"), F.max(col).alias("hi"))
     line = Window.orderBy("__part")
@@ -66,9 +66,13 @@ def trie_nodes(objects: DataFrame) -> DataFrame:
 
 
 def with_children(nodes: DataFrame) -> DataFrame:
-    """nodes with their number of children."""
-    counts = nodes.where("parent is not null").groupBy(F.col("parent").alias("path")).agg(F.count("*").alias("children"))
-    return nodes.join(counts, "path", "left").withColumn("children", F.coalesce("children", F.lit(0)))
+    """nodes with their number of children. Each node counts one for its parent in the same pass; none is read twice."""
+    kept = [c for c in nodes.columns if c != "path"]
+    own = F.struct(F.col("path"), F.struct(*kept).alias("node"), F.lit(0).cast("long").alias("one"))
+    for_parent = F.struct(F.col("parent").alias("path"), F.lit(None).cast(nodes.select(F.struct(*kept).alias("x")).schema["x"].dataType).alias("node"), F.lit(1).cast("long").alias("one"))
+    rows = nodes.select(F.explode(F.array(own, for_parent)).alias("r")).select("r.*").where("path is not null")
+    sums = rows.groupBy("path").agg(F.max("node").alias("node"), F.sum("one").alias("children"))
+    return sums.select("path", *[F.col(f"node.{c}").alias(c) for c in kept], "children")
 
 
 def trie_counts(objects: DataFrame) -> DataFrame:

@@ -18,8 +18,20 @@ def session(name: str = "cairn", **settings: str) -> SparkSession:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the folder that spark.checkpoint.dir names; a temporary one only where that is unset."""
+    """df, computed once and kept in the folder that spark.checkpoint.dir names. Where that is unset, in a temporary one on a local master; elsewhere an error."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+            folder = tempfile.mkdtemp(prefix="checkpoint-")
+        context.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def parts_of(df: DataFrame, each: int = 128 << 20) -> int:
+    """Partitions to deal df to: one for each of so many bytes by the optimizer's statistics, and the session's number at least."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(least, size // each) if size < 1 << 56 else least

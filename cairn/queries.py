@@ -330,12 +330,12 @@ def merge_result(objects):
 
 @query("SELECT key, n_size AS size, n_class AS class FROM acts WHERE action = 'insert'", BATCH)
 def merge_inserts(objects):
-    return reconcile.inserts(objects, delta_batch(objects))
+    return reconcile.inserts(objects, delta_batch(objects), START)
 
 
 @query("SELECT key, o_size, o_class, n_size, n_class FROM acts WHERE action = 'update'", BATCH)
 def merge_updates(objects):
-    return reconcile.updates(objects, delta_batch(objects))
+    return reconcile.updates(objects, delta_batch(objects), START)
 
 
 @query("SELECT key, o_size AS size, o_class AS class FROM acts WHERE action = 'delete'", BATCH)
@@ -345,7 +345,7 @@ def merge_deletes(objects):
 
 @query("SELECT key FROM held INTERSECT SELECT key FROM batch", BATCH)
 def merge_common(objects):
-    return objects.select("key").intersect(delta_batch(objects).select("key"))
+    return reconcile.common(objects, delta_batch(objects), START)
 
 
 @query("SELECT key, CASE WHEN key <= 'events/purchase/' THEN 'not above start' ELSE 'repeated' END AS problem FROM (SELECT key, count(*) AS n FROM (SELECT key FROM objects WHERE starts_with(key, 'events/') UNION ALL SELECT key FROM objects WHERE starts_with(key, 'events/view/') AND size % 3 = 0) GROUP BY key) WHERE key <= 'events/purchase/' OR n > 1")
@@ -532,6 +532,11 @@ def elapsed_percent(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", text.elapsed(F.col("event_id") * 37).alias("elapsed"), text.clamp01(v / 100).alias("share"), text.percent(v, F.lit(32)).alias("percent"), text.percent(v, F.lit(0)).alias("guarded"))
 
 
+@query("SELECT event_id, 'dump-' || strftime(ts, '%Y%m%d-%H%M%S') || '.txt' AS name FROM events", over_objects=False)
+def dump_name(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.concat(F.lit("dump-"), text.stamp(F.col("ts")), F.lit(".txt")).alias("name"))
+
+
 # Telemetry, over events as samples and requests.
 SAMPLES = "x AS (SELECT event_type, event_id, value, epoch_us(ts) / 1e6 AS t, lag(epoch_us(ts) / 1e6) OVER w AS before, lag(value) OVER w AS last FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id))"
 

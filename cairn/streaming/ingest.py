@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from ..operators.reconcile import apply_batch, union_listings
+from ..operators.reconcile import union_listings
 from ..operators.rollup import class_totals
 from ..schema import LISTING, OBJECTS
 from ..sources.listings import normalised
@@ -23,18 +23,20 @@ def listing_stream(spark: SparkSession, folder: str, files_per_trigger: int = 64
 def merge_into(table: InventoryTable, start_from: str | None = None) -> Callable[[DataFrame, int], None]:
     """A writer for foreachBatch. Without start_from a batch is united with the table (a scan's pages); else it replaces its range of keys.
 
-    A batch that is written twice, after a restart, changes nothing the second time.
+    Files whose keys a batch does not touch stay as they are, and the roll-up follows by signed sums. A batch that is
+    written twice, after a restart, changes nothing the second time.
     """
 
     def write(batch: DataFrame, _: int) -> None:
         if batch.isEmpty():
             return
+        rows = union_listings(batch)
         if table.current() is None:
-            table.save(union_listings(batch))
+            table.save(rows)
         elif start_from is None:
-            table.save(union_listings(table.load(), batch))
+            table.unite(rows)
         else:
-            table.save(apply_batch(table.load(), union_listings(batch), start_from))
+            table.replace(rows, start_from)
 
     return write
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,11 +20,13 @@ def _smooth(tau: float):
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         ewma, at, n = state.get if state.exists else (0.0, None, 0)
         rows = pd.concat(list(batches)).sort_values(["t", "tie"])
-        for t, x in zip(rows["t"], rows["value"], strict=True):
-            if at is not None and t > at:
-                ewma += (1 - math.exp(-(t - at) / tau)) * (x - ewma)
-            at = t if at is None else max(at, t)
-            n += 1
+        t, x = rows["t"].to_numpy(float), rows["value"].to_numpy(float)
+        now = np.maximum.accumulate(t if at is None else np.maximum(t, at))  # time does not go back
+        dt = np.diff(now, prepend=now[0] if at is None else at)
+        # The recurrence as a weighted sum: what is left of each step, and of the state, at the end.
+        left = np.exp(-(now[-1] - now) / tau)
+        ewma = ewma * float(np.exp(-dt.sum() / tau)) + float(((1 - np.exp(-dt / tau)) * x * left).sum())
+        at, n = float(now[-1]), n + len(rows)
         state.update((float(ewma), float(at), int(n)))
         yield pd.DataFrame({"series": [key[0]], "samples": [n], "ewma": [ewma]})
 

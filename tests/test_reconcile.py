@@ -27,7 +27,7 @@ def test_range_delete_and_idempotence(spark):
 def test_range_update(spark):
     df, batch = table(spark, [("a/x", 10, 1)]), table(spark, [("a/x", 25, 5)])
     assert rows_of(reconcile.apply_batch(df, batch, "a")) == [("a/x", 25, 5)]
-    assert [tuple(r) for r in reconcile.updates(df, batch).collect()] == [("a/x", 10, 1, 25, 5)]
+    assert [tuple(r) for r in reconcile.updates(df, batch, "a/").collect()] == [("a/x", 10, 1, 25, 5)]
 
 
 def test_batch_contract(spark):

@@ -1,5 +1,6 @@
 import io
 import json
+import time
 
 import pytest
 from py4j.protocol import Py4JJavaError
@@ -69,10 +70,12 @@ def test_table_versions(spark, tmp_path):
 
 def test_synthetic(spark):
     df = synthetic.generate(spark, seed=3)
-    assert rows_of(df) == rows_of(synthetic.generate(spark, seed=3)) != rows_of(synthetic.generate(spark, seed=4))
-    n = df.count()
-    assert 6_900 < n < sum(p.count for p in synthetic.PATTERNS) and df.select("key").distinct().count() == n
-    assert df.where("key like 'reports/%'").count() <= 24
+    rows = rows_of(df)
+    assert rows == rows_of(synthetic.generate(spark, seed=3)) != rows_of(synthetic.generate(spark, seed=4))
+    keys = [k for k, _, _ in rows]
+    assert len(keys) == len(set(keys)) and 2 * synthetic.EXPOSURES < len(keys) < 5 * synthetic.EXPOSURES
+    assert {c for _, _, c in rows} == {1, 2, 3, 4, 5, 6, 7, 10} and all(s >= 0 for _, s, _ in rows)
+    assert synthetic.generate(spark, seed=3, scale=2).count() > 1.5 * len(keys)
 
 
 def test_live_listing(spark):
@@ -86,6 +89,111 @@ def test_live_listing(spark):
     assert spark.read.format("listing").option("objects", "[]").load().count() == 0
 
 
+def test_plan_holds_a_page_a_directory_and_probes_at_once(spark):
+    rows = [(f"d{i:02}/f{j}", 1, "") for i in range(24) for j in range(3)] + [(f"big/{j:05}", 1, "") for j in range(2500)] + [("top", 1, "")]
+    work = live.plan(live.Emulator(rows), "b", "", 2)
+    assert max((len(w.objects) for w in work), default=0) <= 2000
+    assert [w.prefix for w in work if w.shallow] == ["big/"]
+    assert sum(len(w.objects) for w in work) == 24 * 3 + 1
+    slow = live.Emulator(rows[: 24 * 3], delay=0.05)
+    began = time.monotonic()
+    live.plan(slow, "b", "", 2, workers=12)
+    assert slow.requests == 25 and time.monotonic() - began < 25 * 0.05 * 0.6
+    spark.dataSource.register(live.ListingSource)
+    got = spark.read.format("listing").option("objects", json.dumps(rows)).option("max_depth", "2").option("workers", "4").load()
+    assert sorted(r.key for r in got.collect()) == sorted(k for k, _, _ in rows)
+
+
+def test_region():
+    here = live.Emulator([], home="eu-north-1")
+    assert live.region_of(here, "b") == "eu-north-1" and live.region_of(here, "b", "us-east-1", "http://localhost") == "us-east-1"
+    assert live.region_of(live.Emulator([]), "b", "us-east-1") == "us-east-1"
+
+    class Broken(live.Emulator):
+        def region(self, bucket):
+            raise OSError("no answer")
+
+    with pytest.warns(UserWarning, match="no answer"):
+        assert live.region_of(Broken([]), "b", "us-west-2") == "us-west-2"
+
+
+class Recorded(live.Emulator):
+    """Writes what it deletes to a file, as it lives in executors' processes."""
+
+    def __init__(self, path, *args, **named):
+        super().__init__([], *args, **named)
+        self.path = str(path)
+
+    def delete(self, bucket, keys):
+        with open(self.path, "a") as f:
+            f.write("".join(f"{k}\n" for k in keys if k not in self.errors))
+        return super().delete(bucket, keys)
+
+
+def test_deletion_in_a_bucket(spark, tmp_path):
+    rows = [(f"a/{i:04}", i, 1) for i in range(2300)] + [("b/x", 5, 1)]
+    victims = table(spark, rows).repartition(3)
+    store = Recorded(tmp_path / "gone", errors={"a/0007": "SlowDown", "a/0009": "AccessDenied"})
+    dry = live.delete_in_bucket(victims, store, "b", reconcile.DeleteGuards("a/")).first()
+    assert (dry.listed, dry.deleted, dry.would_delete) == (2300, 0, 2300) and not (tmp_path / "gone").exists()
+    done = live.delete_in_bucket(victims, store, "b", reconcile.DeleteGuards("a/", confirm="a/", dry_run=False)).first()
+    assert (done.deleted, done.errors, done.throttled, done.bytes) == (2298, 2, 1, sum(range(2300)) - 16)
+    gone = (tmp_path / "gone").read_text().split()
+    assert sorted(gone) == sorted(k for k, _, _ in rows if k.startswith("a/") and k not in store.errors)
+    with pytest.raises(PermissionError, match="versions"):
+        live.delete_in_bucket(victims, Recorded(tmp_path / "no", keeps_versions=True), "b", reconcile.DeleteGuards("a/", confirm="a/", dry_run=False))
+    with pytest.raises(ValueError, match="1000 keys"):
+        live.Emulator([]).delete("b", ["k"] * 1001)
+
+
+def files_of(t):
+    return {f for f, _ in t.manifest().files}
+
+
+def test_changes_rewrite_only_what_they_touch(spark, tmp_path):
+    rows = [(f"k{i:04}/x", i, i % 3) for i in range(2000)]
+    t = InventoryTable(spark, str(tmp_path / "t"))
+    t.save(table(spark, rows), files=8)
+    before = files_of(t)
+    assert len(before) == 8
+    batch = [("k0620/x", 7, 1), ("k0621/y", 8, 2)]
+    t.replace(table(spark, batch), "k0619/x")
+    held = {k: (s, c) for k, s, c in rows if not "k0619/x" < k <= "k0621/y"} | {k: (s, c) for k, s, c in batch}
+    assert rows_of(t.load()) == sorted((k, *v) for k, v in held.items())
+    assert len(before - files_of(t)) == 1
+    assert rollup.same_totals(t.load_rollup(), rollup.rollup(t.load()))
+    before = files_of(t)
+    more = [("a/first", 1, 1), ("k0100/x", 5, 9), ("k0100/x2", 5, 0), ("zz", 3, 3), ("k0101/x", 1, 0)]
+    t.unite(table(spark, more))
+    for k, s, c in more:
+        old = held.get(k)
+        held[k] = (s, c) if old is None else min((s, c), old, key=lambda v: (v[1], v[0]))
+    assert rows_of(t.load()) == sorted((k, *v) for k, v in held.items())
+    assert len(before - files_of(t)) == 2
+    assert rollup.same_totals(t.load_rollup(), rollup.rollup(t.load()))
+    version = t.current()
+    t.unite(table(spark, more))  # again
+    assert rows_of(t.load()) == sorted((k, *v) for k, v in held.items()) and rollup.same_totals(t.load_rollup(), rollup.rollup(t.load()))
+    assert t.replace(table(spark, []), "a") == t.current() != version
+    firsts = [first for _, first in t.manifest().files]
+    assert firsts == sorted(firsts)
+    t.replace(table(spark, [("zzz", 1, 1)]), "")  # all that lay there goes
+    assert rows_of(t.load()) == [("zzz", 1, 1)] and rollup.same_totals(t.load_rollup(), rollup.rollup(t.load()))
+
+
+def test_old_versions_are_removed(spark, tmp_path):
+    t = InventoryTable(spark, str(tmp_path / "t"))
+    t.save(table(spark, ROWS))
+    for i in range(4):
+        t.unite(table(spark, [(f"new{i}", i, 1)]))
+    assert len(t.versions()) == 2 and rows_of(t.load()) == sorted(ROWS + [(f"new{i}", i, 1) for i in range(4)])
+    assert len(list((tmp_path / "t").glob("manifest-*.json"))) == 2
+    named = {f for v in t.versions() for f, _ in t.manifest(v).files}
+    there = {str(p.relative_to(tmp_path / "t")) for p in (tmp_path / "t").glob("objects-*/**/*.parquet")}
+    assert there == named
+    assert len(list((tmp_path / "t").glob("rollup-*"))) == 2
+
+
 def test_streaming_ingest(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
@@ -124,4 +232,6 @@ def test_cli(spark, tmp_path):
     run("export", str(tmp_path / "x.snap"))
     assert len(list(snapshot.decode((tmp_path / "x.snap").read_bytes()))) == 2
     run("gen", "--seed", "2")
-    assert "datasets/" in run("list", "--sort", "size", "--reverse", "--dirs-first")
+    assert "frames/" in run("list", "--sort", "size", "--reverse", "--dirs-first")
+    run("export", str(tmp_path / "x.jsonl"), "--format", "jsonl", "--limit", "3")
+    assert [r[0] for r in rows_of(listings.read_jsonl(spark, str(tmp_path / "x.jsonl")))] == [r.key for r in synthetic.generate(spark, 2).orderBy("key").limit(3).collect()]
