@@ -3,9 +3,11 @@
 1. Test items are cut into windows; the corpus is counted for their terms.
 2. The index holds postings (term, document, position) of each window's rarest terms over the whole corpus.
 3. A window's lists, each shifted by its term's offset in the window, are intersected from the rarest term on.
-4. What is left is compared word for word with the documents, and positions, items and digests are derived.
+4. Documents in which something is left, which are few, are compared word for word; no other text leaves the scan.
+   Positions, items and counts travel as numbers.
 
-Test tables are broadcast only while their counted rows are below SMALL; beyond it the same joins shuffle.
+Test tables, and the ids of those documents, are broadcast only while their counted rows are below SMALL; beyond it the same
+joins shuffle, and a term's list is then spread over SALTS keys.
 """
 
 from __future__ import annotations
@@ -13,10 +15,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, text_table
+from .common import checkpointed, text_table, unused
 
-#: Rows of a test table that are broadcast at most, and the rarest terms whose lists are intersected.
-SMALL, RAREST = 200_000, 3
+#: Rows that are broadcast at most, the rarest terms whose lists are intersected, and keys that a list is spread over.
+SMALL, RAREST, SALTS = 200_000, 3, 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What separates words: ASCII other than digits and lower-case letters.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -37,11 +39,11 @@ def sized(df: DataFrame, rows: int) -> DataFrame:
 
 
 def test_windows(items: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
-    """(win, n, terms, items): each distinct window once, win being its words joined by spaces, with the items that hold it."""
+    """(win, n, terms, item): the windows of each item, win being their words joined by spaces. An item has a window once."""
     words = items.select(F.col(f"`{id_col}`").cast("string").alias("item"), words_of(F.col(f"`{text_col}`")).alias("w")).where("size(w) > 0")
     starts = words.select("item", "w", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - window + 1))).alias("i"))
-    cut = starts.select("item", F.expr(f"slice(w, i, {window})").alias("terms"))
-    return cut.groupBy("terms").agg(F.collect_set("item").alias("items")).select(F.array_join("terms", " ").alias("win"), F.size("terms").alias("n"), "terms", "items")
+    cut = starts.select("item", F.expr(f"slice(w, i, {window})").alias("terms")).distinct()
+    return cut.select(F.array_join("terms", " ").alias("win"), F.size("terms").alias("n"), "terms", "item")
 
 
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -63,78 +65,116 @@ def slots(windows: DataFrame, counts: DataFrame, rarest: int) -> DataFrame:
     return ranked.where(F.size("s") == F.col("n")).select("win", "n", F.expr(f"slice(s, 1, {rarest})").alias("slots"))
 
 
-def phrase_candidates(index: DataFrame, lists: DataFrame, rows: int, rarest: int) -> DataFrame:
-    """(win, doc_id, th, start): where the windows' rarest terms all stand at their offsets."""
-    first = sized(lists.select("win", "slots", F.col("slots")[0]["term"].alias("term"), F.col("slots")[0]["off"].alias("off")), rows)
-    found = index.join(first, "term").select("win", "slots", "doc_id", "th", (F.col("pos") - F.col("off")).alias("start")).where("start >= 0")
-    for k in range(1, rarest):
+def _prepared(docs: DataFrame, items: DataFrame, item_col: str, item_text: str, window: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Windows with their items; lists (win, n, slots) by all of a window's terms, rarest first; the index of the rarest ones' postings."""
+    windows = checkpointed(test_windows(items, item_col, item_text, window))
+    terms = checkpointed(windows.select(F.explode("terms").alias("term")).distinct())
+    counts = checkpointed(term_counts(docs, sized(terms, terms.count())))
+    lists = checkpointed(slots(windows.select("win", "n", "terms").distinct(), counts, window))
+    wanted = checkpointed(lists.select(F.explode(F.slice("slots", 1, RAREST)["term"]).alias("term")).distinct())
+    return windows, lists, checkpointed(postings(docs, sized(wanted, wanted.count())))
+
+
+def _with_rarest(index: DataFrame, lists: DataFrame) -> DataFrame:
+    """Postings of each window's rarest term, with at: where the window would begin."""
+    first = lists.select("win", "n", "slots", F.col("slots")[0]["term"].alias("term"), F.col("slots")[0]["off"].alias("off"))
+    rows = first.count()
+    if rows <= SMALL:
+        joined = index.join(F.broadcast(first), "term")
+    else:
+        spread = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = index.withColumn("salt", F.pmod(F.xxhash64("doc_id", "pos"), F.lit(SALTS)).cast("int")).join(spread, ["term", "salt"])
+    return joined.select("win", "n", "slots", "doc_id", "th", (F.col("pos") - F.col("off")).alias("at"))
+
+
+def phrase_candidates(index: DataFrame, lists: DataFrame) -> DataFrame:
+    """(win, n, doc_id, th, at): where the windows' RAREST rarest terms all stand at their offsets; a document of th and doc_id once."""
+    found = _with_rarest(index, lists).where("at >= 0")
+    for k in range(1, RAREST):
         slot = F.get(F.col("slots"), F.lit(k))
         more = index.select(F.col("term").alias("t"), F.col("doc_id").alias("d"), F.col("th").alias("h"), F.col("pos").alias("p"))
-        match = (F.col("t") == slot["term"]) & F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("th")) & (F.col("p") == F.col("start") + slot["off"])
+        match = (F.col("t") == slot["term"]) & F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("th")) & (F.col("p") == F.col("at") + slot["off"])
         short = found.where(F.size("slots") <= k)
         found = found.where(F.size("slots") > k).join(more, match, "left_semi").unionAll(short)
-    return found.select("win", "doc_id", "th", "start").distinct()
+    return found.select("win", "n", "doc_id", "th", "at").distinct()
+
+
+def _same_document(left: str, right: str) -> Column:
+    return F.col(f"{left}.doc_id").eqNullSafe(F.col(f"{right}.doc_id")) & (F.col(f"{left}.th") == F.col(f"{right}.th"))
+
+
+def _words_of_those(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """(doc_id, th, w): the words of the documents that places name, each once; texts of others stay where they are."""
+    some = checkpointed(places.select("doc_id", "th").distinct())
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
+    named = keyed.alias("l").join(sized(some, some.count()).alias("r"), _same_document("l", "r"), "left_semi")
+    return named.dropDuplicates(["doc_id", "th"]).select("doc_id", "th", words_of(F.col("text")).alias("w"))
+
+
+def _matches(docs: DataFrame, index: DataFrame, lists: DataFrame) -> DataFrame:
+    """(doc_id, th, win, n, at): where windows stand, word for word."""
+    found = checkpointed(phrase_candidates(index, lists))
+    words = _words_of_those(docs, found)
+    both = found.alias("l").join(words.alias("r"), _same_document("l", "r"))
+    return both.where(F.expr("array_join(slice(w, at + 1, n), ' ') = win")).select("l.doc_id", "l.th", "win", "n", "at")
+
+
+def phrase_matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 10) -> DataFrame:
+    """(doc_id, th, win, n, at): a row for each place, in words from 0, where a window of an item stands in a document.
+
+    th is a hash of the document's text: rows that repeat id and text are one document, rows that share an id are several.
+    Nulls and empty tables are met as by contamination.
+    """
+    docs = text_table(docs, id_col, text_col)
+    _, lists, index = _prepared(docs, items, item_col, item_text, window)
+    return _matches(docs, index, lists)
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 10) -> DataFrame:
-    """A row for each row of docs: doc_id, text, n_words, n_hit, item_ids (strings, sorted), hits (spans of start and n).
+    """A row for each row of docs: doc_id, th, n_words, n_hit, item_ids (strings, sorted; th is a hash of the text).
 
     A document word is hit if it lies inside an occurrence of a window of some item; an item of fewer words is one
     window, one without words has none. Null texts have no words. Rows that repeat id and text have the same result; a
-    null id is an id like any other. With no items, or no documents, nothing is hit. Extra columns are left out.
+    null id is an id like any other, an item with a null id hits but is not listed. With no items, or no documents, nothing is
+    hit. Extra columns are left out. A row's item_ids hold at most as many strings as there are items.
     """
     docs = text_table(docs, id_col, text_col)
-    windows = checkpointed(test_windows(items, item_col, item_text, window))
-    terms = checkpointed(windows.select(F.explode("terms").alias("term")).distinct())
-    counts = checkpointed(term_counts(docs, sized(terms, terms.count())))
-    lists = checkpointed(slots(windows, counts, RAREST))
-    n_lists = lists.count()
-    wanted = checkpointed(lists.select(F.explode("slots.term").alias("term")).distinct())
-    index = checkpointed(postings(docs, sized(wanted, wanted.count())))
-    found = phrase_candidates(index, lists, n_lists, RAREST)
-    known = sized(windows.select("win", "n", "items"), windows.count())
-    spans = found.join(known, "win").groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "n", "win", "items")).alias("c"))
-    left = docs.withColumn("th", F.xxhash64("text")).alias("l")
-    joined = left.join(spans.alias("r"), F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("l.th") == F.col("r.th")), "left")
-    some = joined.select("l.doc_id", "l.text", words_of(F.col("l.text")).alias("w"), F.coalesce("c", F.expr("array()").cast(spans.schema["c"].dataType)).alias("c"))
-    sure = some.withColumn("c", F.expr("filter(c, x -> array_join(slice(w, x.start + 1, x.n), ' ') = x.win)"))
-    return sure.select(
-        "doc_id",
-        "text",
-        F.size("w").cast("long").alias("n_words"),
-        F.expr("cast(size(array_distinct(flatten(transform(c, x -> sequence(x.start, x.start + x.n - 1))))) as long)").alias("n_hit"),
-        F.expr("array_sort(array_distinct(flatten(transform(c, x -> x.items))))").alias("item_ids"),
-        F.expr("array_sort(transform(c, x -> struct(x.start as start, x.n as n)))").alias("hits"),
-    )
+    windows, lists, index = _prepared(docs, items, item_col, item_text, window)
+    matches = checkpointed(_matches(docs, index, lists))
+    hit = matches.select("doc_id", "th", F.explode(F.expr("sequence(at, at + n - 1)")).alias("p")).distinct().groupBy("doc_id", "th").agg(F.count("*").alias("n_hit"))
+    held = matches.select("doc_id", "th", "win").distinct().join(sized(windows.select("win", "item"), windows.count()), "win")
+    listed = held.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("item")).alias("item_ids"))
+    both = hit.alias("l").join(listed.alias("r"), _same_document("l", "r")).select("l.doc_id", "l.th", "n_hit", "item_ids")
+    both = checkpointed(both)
+    every = docs.select("doc_id", F.xxhash64("text").alias("th"), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
+    out = every.alias("l").join(sized(both, both.count()).alias("r"), _same_document("l", "r"), "left")
+    return out.select("l.doc_id", "l.th", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 10) -> DataFrame:
     """The rows of docs, all columns, without those that hold a window of an item. Rows without an id stay if their text is clean."""
-    marked = contamination(docs, items, id_col, text_col, window=window).where("n_hit > 0")
-    bad = marked.select(F.col("doc_id").alias("__d"), F.xxhash64("text").alias("__h")).distinct()
-    return docs.join(bad, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64(F.col(f"`{text_col}`").cast("string")) == F.col("__h")), "left_anti")
+    bad = checkpointed(phrase_matches(docs, items, id_col, text_col, window=window).select("doc_id", "th").distinct())
+    d, h = unused(docs, "d"), unused(docs, "h")
+    named = sized(bad.select(F.col("doc_id").alias(d), F.col("th").alias(h)), bad.count())
+    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(d)) & (F.xxhash64(F.col(f"`{text_col}`").cast("string")) == F.col(h))
+    return docs.join(named, same, "left_anti")
 
 
-def proximity_matches(docs: DataFrame, items: DataFrame, window: int = 10, slop: int = 5) -> DataFrame:
-    """(win, doc_id, th, at, spread): where a window's rarest terms stand near their places, in any order.
+def proximity_matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 10, slop: int = 5) -> DataFrame:
+    """(win, doc_id, th, at, spread): where all terms of a window stand near their places.
 
-    Each term's shifted positions fall into cells of slop + 1 words; a match holds every looked-up term within two
-    neighbouring cells, with a spread of at most slop. One row for the first such place of each cell.
+    A term's shift is its position less its offset in the window. A match at `at` holds, for every term of the window, a
+    shift from at to at + slop, and for some term the shift at itself; spread is the least s for which at + s would do,
+    0 for the phrase itself. One row for each such place. Each term is looked up on its own: where a window repeats a
+    term, one word may serve twice. The rarest term's list gives the places to try. Documents are known by id and text, as by
+    phrase_matches; null and empty texts and items match nothing, empty tables give no rows.
     """
-    docs = text_table(docs)
-    windows = checkpointed(test_windows(items, "item_id", "text", window))
-    terms = checkpointed(windows.select(F.explode("terms").alias("term")).distinct())
-    counts = checkpointed(term_counts(docs, sized(terms, terms.count())))
-    lists = slots(windows, counts, RAREST)
-    wanted = lists.select("win", F.size("slots").alias("k"), F.posexplode("slots").alias("slot", "s")).select("win", "k", "slot", "s.term", "s.off")
-    shifted = postings(docs, wanted.select("term").distinct()).join(wanted, "term").withColumn("at", F.col("pos") - F.col("off"))
-    cell = F.floor(F.col("at") / (slop + 1))
-    placed = shifted.withColumn("cell", F.explode(F.array(cell, cell - 1)))
-    near = placed.groupBy("win", "doc_id", "th", "cell", "k", "slot").agg(F.array_sort(F.collect_set("at")).alias("ats"))
-    full = near.groupBy("win", "doc_id", "th", "cell", "k").agg(F.collect_list("ats").alias("lists")).where(F.size("lists") == F.col("k"))
-    tried = full.select("win", "doc_id", "th", F.explode(F.array_distinct(F.flatten("lists"))).alias("at"), "lists")
-    reach = F.expr(f"transform(lists, l -> array_min(filter(l, x -> x >= at and x <= at + {slop})))")
-    held = tried.withColumn("ends", reach).where(F.expr("forall(ends, x -> x is not null)"))
-    return held.groupBy("win", "doc_id", "th", "at").agg(F.min(F.array_max("ends") - F.col("at")).alias("spread"))
-
-
+    docs = text_table(docs, id_col, text_col)
+    _, lists, index = _prepared(docs, items, item_col, item_text, window)
+    near = _with_rarest(index, lists).distinct()
+    near = checkpointed(near.select("win", "slots", "doc_id", "th", F.explode(F.expr(f"sequence(at - {slop}, at)")).alias("at")).distinct())
+    both = near.alias("l").join(_words_of_those(docs, near).alias("r"), _same_document("l", "r"))
+    low = "greatest(at + s.off, 0)"
+    shifts = F.expr(f"transform(slots, s -> if(at + s.off + {slop} < 0, null, {low} - at - s.off - 1 + nullif(array_position(slice(w, {low} + 1, at + s.off + {slop} - {low} + 1), s.term), 0)))")
+    found = both.select("win", "l.doc_id", "l.th", "at", shifts.alias("x")).where(F.expr("forall(x, y -> y is not null) and array_min(x) = 0"))
+    return found.select("win", "doc_id", "th", "at", F.array_max("x").cast("int").alias("spread"))
