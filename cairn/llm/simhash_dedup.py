@@ -5,6 +5,10 @@ they share one. Distinct fingerprints emit their 65 variants; a variant's group
 members differ from it, so a group is one row of fixed size (its members follow from variant and mask) and no list is
 collected. All members of a group lie within two bits of each other, so a star from its smallest member keeps every
 connection; stars are made distinct, verified by XOR and joined into components.
+
+near_duplicates and keep_first link documents by the likeness of their sets of five-word shingles instead, 0.8 or more, for which two
+bits of 64 are far too near. They hash balls of the same radius around the PARTS parts, of 32 bits each, of a wider fingerprint
+of each text's distinct pairs of words, and compare the shingles of whatever meets in some part.
 """
 
 from __future__ import annotations
@@ -18,9 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, checkpointed_in_small_batches, components, parts_for, text_table, unused
+from .substring_dedup import BLOCK_BYTES, ODD, U, Words, _mixed
 
 #: Shingles whose bits are held at once; fingerprints whose variants one task emits, about.
 STEP, POINTS = 1 << 16, 20_000
+#: Parts of a wide fingerprint; words of what it is made of; bits of all parts by which like texts differ at most, about twice what is
+#: usual at a likeness of 0.8; ids that are broadcast at most.
+PARTS, PAIR, FAR, SMALL = 6, 2, 48, 500_000
 
 
 def fingerprints(texts: Sequence[str | None], shingle: int = 3) -> np.ndarray:
@@ -76,6 +84,59 @@ def fingerprints(texts: Sequence[str | None], shingle: int = 3) -> np.ndarray:
     return out
 
 
+def _in_blocks(texts: Sequence[str | None]) -> Iterator[tuple[int, list[bytes]]]:
+    """Lower-cased texts, some at a time, with the number of the first."""
+    begin, held, size = 0, [], 0
+    for i, t in enumerate(texts):
+        held.append((t or "").encode().lower())
+        size += len(held[-1])
+        if size >= BLOCK_BYTES:
+            yield begin, held
+            begin, held, size = i + 1, [], 0
+    if held:
+        yield begin, held
+
+
+def wide_fingerprints(texts: Sequence[str | None]) -> tuple[list[bytes], np.ndarray]:
+    """Of each text a digest of its words, and PARTS numbers: a part's place in the upper 32 bits, its fingerprint in the lower.
+
+    A bit is 1 if it is set in over half the hashes of the text's distinct runs of PAIR words.
+    """
+    digests: list[bytes] = []
+    parts = np.zeros((len(texts), PARTS), np.int64)
+    for begin, some in _in_blocks(texts):
+        words = Words(some)
+        ends = np.cumsum(words.size)
+        for first, end in zip((ends - words.size).tolist(), ends.tolist(), strict=True):
+            digests.append(xxhash.xxh3_128_digest(words.buffer[words.begin[first] : words.begin[end - 1] + words.length[end - 1]] if end > first else b""))
+        h, doc = words.runs(PAIR)
+        order = np.lexsort((h, doc))
+        h, doc = h[order], doc[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+        h, doc = h[new], doc[new]
+        count = np.zeros((len(some), 32 * PARTS), np.int32)
+        for i in range(0, len(h), STEP):
+            own = doc[i : i + STEP]
+            cuts = np.flatnonzero(np.diff(own, prepend=-1))
+            for seed in range(0, PARTS, 2):
+                bits = np.unpackbits(_mixed(h[i : i + STEP] * ODD + U(seed + 1)).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+                count[own[cuts], 32 * seed : 32 * (seed + 2)] += np.add.reduceat(bits, cuts, axis=0, dtype=np.int32)[:, : 32 * (PARTS - seed)]
+        many = np.bincount(doc, minlength=len(some))[:, None]
+        values = np.packbits(2 * count > many, axis=1).view(">u4").astype(np.int64)
+        parts[begin : begin + len(some)] = values | np.arange(PARTS) << 32
+    return digests, parts
+
+
+def likeness(a: str | None, b: str | None, shingle: int = 5) -> float:
+    """The share of the distinct shingles of two texts (their 64-bit hashes) that both have; 1 for two texts without words."""
+    words = Words([(t or "").encode().lower() for t in (a, b)])
+    h, doc = words.runs(shingle)
+    x, y = np.unique(h[doc == 0]), np.unique(h[doc == 1])
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
+
+
 def with_fingerprint(docs: DataFrame, out: str = "fp", text_col: str = "text", shingle: int = 3) -> DataFrame:
     @F.pandas_udf("long")
     def fingerprint(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -113,15 +174,74 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return marked.join(named.join(smallest, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def _near_pairs(nodes: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of documents that meet: those that share a part with its smallest document, and the smallest of parts that differ in one or two bits.
+
+    nodes: (rep, node), a row for each document and part.
+    """
+    led = checkpointed(nodes.groupBy("node").agg(F.min("rep").alias("lead"), F.max("rep").alias("most")))
+    shared = nodes.join(led.where("lead < most").select("node", "lead"), "node").select(F.col("lead").alias("a"), F.col("rep").alias("b"))
+    bit = F.col("bit")
+    spread = led.select("node").repartition(parts_for(nodes.sparkSession, led.count(), 2 * POINTS), "node")
+    flags = spread.select("node", F.explode(F.sequence(F.lit(0), F.lit(32))).alias("bit")).select(F.when(bit < 32, F.col("node").bitwiseXOR(F.expr("shiftleft(1L, bit)"))).otherwise(F.col("node")).alias("v"), F.expr("shiftleft(1L, bit)").alias("flag"))
+    groups = flags.groupBy("v").agg(F.bit_or("flag").alias("mask")).where(F.bit_count("mask") > 1)
+    members = F.expr("transform(filter(sequence(0, 32), i -> (mask & shiftleft(1L, i)) != 0), i -> if(i = 32, v, v ^ shiftleft(1L, i)))")
+    stars = groups.select(members.alias("m")).select(F.array_min("m").alias("x"), F.explode("m").alias("y")).where("x <> y").distinct()
+    ends = [led.select(F.col("node").alias(n), F.col("lead").alias(c)) for n, c in (("x", "a"), ("y", "b"))]
+    across = stars.join(ends[0], "x").join(ends[1], "y").select("a", "b")
+    return shared.unionAll(across).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) for every row of docs that has an id.
+
+    Words are lower-cased in A-Z only. Texts of the same words are copies. Two texts are linked if `least` of their distinct
+    shingles or more are common to both; a text of fewer words than a shingle is one shingle; texts without words, null ones
+    too, are copies of each other. component_id is the smallest doc_id reachable over copies and links, its own included.
+    Which pairs are compared is left to hashing: like texts meet in one of the PARTS parts with a chance of 0.97 and more if single
+    words differ, and every linked pair was compared. Repeated rows come out as often as they come in.
+    """
+    texts = text_table(docs, id_col, text_col).where("doc_id is not null")
+
+    @F.pandas_udf("copy binary, parts array<long>")
+    def wide(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for s in batches:
+            digests, parts = wide_fingerprints(s)
+            yield pd.DataFrame({"copy": digests, "parts": list(parts)})
+
+    @F.pandas_udf("double")
+    def like(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([likeness(x, y, shingle) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    marked = checkpointed_in_small_batches(texts.select("doc_id", wide("text").alias("w")).select("doc_id", "w.copy", "w.parts"))
+    least_id = F.min("doc_id").alias("doc_id")
+    reps = checkpointed(marked.groupBy("copy").agg(least_id, F.any_value("parts").alias("parts")).withColumn("rep", F.monotonically_increasing_id()))
+    pairs = _near_pairs(reps.select("rep", F.explode("parts").alias("node")))
+    ends = [reps.select(F.col("rep").alias(c), F.col("parts").alias(f"p{c}"), F.col("copy").alias(f"c{c}"), F.col("doc_id").alias(f"d{c}")) for c in "ab"]
+    apart = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    pairs = checkpointed(pairs.join(ends[0], "a").join(ends[1], "b").where(apart <= FAR).select("a", "b", "ca", "cb", "da", "db"))
+    wanted = checkpointed(pairs.select(F.explode(F.array("da", "db")).alias("doc_id")).distinct())
+    held = texts.join(F.broadcast(wanted) if wanted.count() <= SMALL else wanted, "doc_id", "left_semi")
+    held = held.select("text", wide("text")["copy"].alias("copy")).dropDuplicates(["copy"])  # rows that share an id may hold other words
+    one, other = (held.select(F.col("copy").alias(f"c{c}"), F.col("text").alias(f"t{c}")) for c in "ab")
+    links = pairs.join(one, "ca").join(other, "cb").select("a", "b", like("ta", "tb").alias("like"))
+    links = checkpointed_in_small_batches(links).where(F.col("like") >= least)
+    roots = components(links.select("a", "b"))
+    rooted = reps.join(roots, reps.rep == roots.node, "left").select("copy", "doc_id", F.coalesce("root", "rep").alias("root"))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("copy", "component_id")
+    return marked.select("doc_id", "copy").join(named, "copy").select("doc_id", "component_id")
+
+
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of docs for each component: that of its smallest doc_id. Rows without an id stay, as nothing tells them apart.
+    """One row of docs for each component of near_duplicates: that of its smallest doc_id. All columns, whatever their names.
 
-    Of rows that repeat the smallest doc_id, one stays.
+    Rows without an id stay, as nothing tells them apart. Of rows that repeat the smallest doc_id, one stays.
     """
-    parts = simhash_components(docs, id_col, text_col)
+    parts = near_duplicates(docs, id_col, text_col)
     best = checkpointed(parts.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")))
     name = unused(docs, "first")
-    kept = docs.join(best.select(F.col("doc_id").alias(name)), F.col(f"`{id_col}`") == F.col(name), "left_semi")
+    ids = best.select(F.col("doc_id").alias(name))
+    kept = docs.join(F.broadcast(ids) if best.count() <= SMALL else ids, F.col(f"`{id_col}`") == F.col(name), "left_semi")
     if best.where("n > 1").limit(1).count():
         kept = kept.dropDuplicates([id_col])
     return kept.unionByName(docs.where(F.col(f"`{id_col}`").isNull()))

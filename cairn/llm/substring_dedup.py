@@ -109,10 +109,10 @@ def _superkmers(h: np.ndarray, doc: np.ndarray, k: int, m: int, hot: np.ndarray)
     return at[begin], at[end], key[begin]
 
 
-class _Block:
-    """Some documents' words in one buffer, a space behind each, and their super-k-mers."""
+class Words:
+    """Some documents' words in one buffer, a space behind each, and a hash of each word."""
 
-    def __init__(self, texts: list[bytes | None], k: int, m: int, hot: np.ndarray):
+    def __init__(self, texts: list[bytes | None]):
         raw = np.frombuffer(b"\n".join([t or b"" for t in texts]) + b"\n", np.uint8)
         space = SPACE[raw]
         first = np.empty(len(raw), bool)  # of a word
@@ -129,6 +129,24 @@ class _Block:
         del raw, space, first, keep
         self.doc = np.repeat(np.arange(len(texts)), self.size)
         self.hashes = _word_hashes(self.buffer + bytes(8), self.begin, self.length)
+
+    def runs(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all runs of k words of one document, and their documents; a document of fewer words, but some, is one run."""
+        short = np.flatnonzero((self.size > 0) & (self.size < k))
+        first = np.cumsum(self.size) - self.size
+        out, doc = [_mixed(np.array([_windows(self.hashes[first[d] : first[d] + self.size[d]], int(self.size[d]), ODD)[0] for d in short.tolist()], U))], [short]
+        if len(self.hashes) >= k:
+            at = np.flatnonzero(self.doc[: len(self.doc) - k + 1] == self.doc[k - 1 :])
+            out.append(_mixed(_windows(self.hashes, k, ODD)[at]))
+            doc.append(self.doc[at])
+        return np.concatenate(out), np.concatenate(doc)
+
+
+class _Block(Words):
+    """The same with the documents' super-k-mers."""
+
+    def __init__(self, texts: list[bytes | None], k: int, m: int, hot: np.ndarray):
+        super().__init__(texts)
         self.first, self.last, self.key = _superkmers(self.hashes, self.doc, k, m, hot)
         self.of = self.doc[self.first]
 
@@ -300,6 +318,17 @@ def _count(k: int):
     return bucket
 
 
+def _loose(t: pa.DataType) -> pa.DataType:
+    """The type with nulls allowed everywhere, as the schemas say that results are declared by."""
+    if pa.types.is_struct(t):
+        return pa.struct([pa.field(f.name, _loose(f.type)) for f in t])
+    if pa.types.is_list(t):
+        return pa.list_(pa.field(t.value_field.name, _loose(t.value_type)))
+    if pa.types.is_map(t):
+        return pa.map_(t.key_type, pa.field(t.item_field.name, _loose(t.item_type)))
+    return t
+
+
 def _resolve(k: int, m: int, names: list[str], hot: np.ndarray):
     def home(docs: pa.Table, answers: pa.Table) -> pa.Table:
         unpress = zstandard.ZstdDecompressor().decompress
@@ -341,7 +370,7 @@ def _resolve(k: int, m: int, names: list[str], hot: np.ndarray):
                 if t is not None:
                     kept[row] = left[i : max(i, j - 1)]
         new = {"text": pa.array(kept, pa.binary()).cast(pa.string()), "n_words": pa.array(n_words), "n_removed": pa.array(n_removed)}
-        return pa.Table.from_arrays([new[c] if c in new else docs.column(c) for c in names], names=names)
+        return pa.Table.from_arrays([new[c] if c in new else docs.column(c).cast(_loose(docs.column(c).type)) for c in names], names=names)
 
     return home
 

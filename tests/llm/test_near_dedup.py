@@ -80,6 +80,91 @@ def test_long_text_in_steps(monkeypatch):
     assert [int(x) & (1 << 64) - 1 for x in sh.fingerprints([text[:60], None, text[:90]])] == [brute_fp(text[:60]), 0, brute_fp(text[:90])]
 
 
+def brute_like(a, b, k=5):
+    x, y = ({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if (w := (t or "").encode().lower().split()) else set() for t in (a, b))
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def brute_near(rows, least=0.8):
+    """(id, text) -> smallest id reachable by links of likeness, over all pairs."""
+    up = list(range(len(rows)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, (_, a) in enumerate(rows):
+        for j, (_, b) in enumerate(rows[:i]):
+            if brute_like(a, b) >= least:
+                up[root(i)] = root(j)
+    smallest = {}
+    for i, (n, _) in enumerate(rows):
+        smallest[root(i)] = min(n, smallest.get(root(i), n))
+    return [smallest[root(i)] for i in range(len(rows))]
+
+
+def prose(rnd, n):
+    return ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(1, 3))) for _ in range(n)]
+
+
+def edited(rnd, words, share):
+    return [prose(rnd, 1)[0] if rnd.random() < share else w for w in words]
+
+
+def test_likeness():
+    rnd = random.Random(17)
+    for _ in range(200):
+        a = prose(rnd, rnd.randint(0, 30))
+        b = edited(rnd, a, 0.05)[rnd.randint(0, 2) :]
+        assert sh.likeness(" ".join(a), "\n".join(b).upper()) == brute_like(" ".join(a), " ".join(b))
+    assert sh.likeness(None, "") == 1.0 and sh.likeness("a", None) == 0.0
+
+
+def test_wide_fingerprints_are_majorities(monkeypatch):
+    rnd = random.Random(18)
+    texts = [" ".join(prose(rnd, n)) for n in (0, 1, 2, 3, 50, 400)] + [None, "a b a b a b", "A  b"]
+    whole = sh.wide_fingerprints(texts)
+    monkeypatch.setattr(sh, "STEP", 7)
+    monkeypatch.setattr(sh, "BLOCK_BYTES", 40)
+    steps = sh.wide_fingerprints(texts)
+    assert whole[0] == steps[0] and (whole[1] == steps[1]).all()
+    assert whole[0][0] == whole[0][6] and whole[0][2] != whole[0][3] and (whole[1] >> 32 == range(sh.PARTS)).all()
+    one = sh.wide_fingerprints(["a b", "b a", "a b a"])[1] & 0xFFFFFFFF
+    assert (one[2] == (one[0] & one[1])).all()  # of two hashes the bits that are set in both
+
+
+def test_near_duplicates_against_brute_force(spark):
+    rnd = random.Random(19)
+    rows = []
+    for g in range(30):
+        base = prose(rnd, rnd.choice([6, 40, 120, 300]))
+        rows += [(100 * g + i, " ".join(base if i % 3 == 0 else edited(rnd, base, rnd.choice([0.005, 0.02, 0.2])))) for i in range(rnd.randint(1, 6))]
+    rows += [(5000, None), (5001, ""), (5002, " \n"), (5003, "one two"), (5004, "ONE  two"), (5005, "one"), (rows[0][0], rows[0][1]), (rows[0][0], "quite another text under an id that was there before"), (6000, " ".join(prose(rnd, 60_000)))]
+    df = spark.createDataFrame([(i, t, 1, 2) for i, t in rows] + [(None, rows[0][1], 1, 2)], "doc_id long, text string, copy int, first int").repartition(3)
+    got = sorted(tuple(r) for r in sh.near_duplicates(df).collect())
+    expected = sorted(zip([i for i, _ in rows], brute_near(rows), strict=True))
+    assert got == expected
+    kept = sh.keep_first(df)
+    assert kept.columns == df.columns
+    assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == sorted({c for _, c in expected})
+
+
+def test_recall_of_near_duplicates(spark):
+    """Pairs whose likeness is 0.8 to 0.9, single words replaced."""
+    rnd = random.Random(20)
+    rows, pairs = [], 0
+    while pairs < 300:
+        base = prose(rnd, rnd.randint(60, 200))
+        other = edited(rnd, base, 0.02)
+        if 0.8 <= brute_like(" ".join(base), " ".join(other)) <= 0.9:
+            rows += [(2 * pairs, " ".join(base)), (2 * pairs + 1, " ".join(other))]
+            pairs += 1
+    got = {r.doc_id: r.component_id for r in sh.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[2 * i] == 2 * i and got[2 * i + 1] in (2 * i, 2 * i + 1) for i in range(pairs))
+    assert sum(got[2 * i + 1] == 2 * i for i in range(pairs)) >= 0.95 * pairs
+
+
 def test_keep_first(spark):
     rows = [(1, "a b c d", "x"), (2, "A b c d", "y"), (1, "a b c d", "x"), (3, "other words stand here now", "z"), (None, "a b c d", "n")]
     df = spark.createDataFrame(rows, "doc_id long, text string, n string")

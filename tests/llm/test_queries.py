@@ -7,13 +7,14 @@ import duckdb
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cairn.llm import bpe, queries, toxicity
 
 from ..test_entry import TABLES, same
 from .test_decontaminate import brute as brute_items
-from .test_near_dedup import brute_components, brute_fp
+from .test_near_dedup import brute_components, brute_fp, brute_near
 from .test_substring_dedup import brute as brute_windows
 
 DATA = "/root/testdata/sf0.001"
@@ -77,8 +78,7 @@ def test_pipeline_against_brute_force(spark, documents):
     assert [n for n, _ in corpus_pipeline.STAGES][0] == "toxicity" and len(corpus_pipeline.STAGES) == 5
     model = toxicity.train(docs, spark.read.parquet(f"{DATA}/labels.parquet"))
     left = {i: t for i, t in documents.items() if model.score(toxicity.word_hashes(t)) < 0.5}
-    points = [(i, brute_fp(t)) for i, t in left.items()]
-    left = {i: left[i] for (i, _), c in zip(points, brute_components(points), strict=True) if c == i}
+    left = {i: left[i] for i, c in zip(list(left), brute_near(list(left.items())), strict=True) if c == i}
     left = {i: t for i, t, _, _ in brute_windows(list(left.items()), 13)}
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
     left = {i: left[i] for i, _, hit, _ in brute_items(list(left.items()), items, 10) if not hit}
@@ -92,3 +92,31 @@ def test_stages_keep_the_columns(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, DATA).columns == docs.columns
         assert stage(spark, docs.limit(0), DATA).count() == 0
+
+
+def test_stages_on_nulls_repeats_and_clashing_names(spark, tmp_path):
+    long = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, long, "en", "s", 5), (1, long, "en", "s", 5), (2, long + " more", None, None, None), (None, long, "en", "s", 1), (None, None, None, None, None), (3, None, "fr", "s", 0), (4, "", "fr", None, 0), (5, "short", "de", "s", 5), (6, "quite other words stand here", "en", "s", 1), (6, "and these are others again, under one id", "en", "s", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    more = "score, first, d, h, made, home, rest, copy, label, fold, __score, __kept, __d, __h, __bpe, th, w".split(", ")
+    docs = spark.createDataFrame(rows, schema)
+    for c in more:
+        docs = docs.withColumn(c, F.lit(c))
+    for t, schema in (("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{t}.parquet")
+
+    def kept(i):
+        out = corpus_pipeline.STAGES[i][1](spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and [tuple(r[c] for c in more) for r in out.collect()] == [tuple(more)] * out.count()
+        return sorted((-1 if r.doc_id is None else r.doc_id, r.text or "", r.n_chars if r.n_chars is not None else -1) for r in out.collect())
+
+    every = sorted((-1 if i is None else i, t or "", -1 if n is None else n) for i, t, _, _, n in rows)
+    assert kept(0) == every  # nothing was learned, so nothing is toxic
+    assert kept(1) == sorted([(1, long, 5), (-1, long, 1), (-1, "", -1), (3, "", 0), (5, "short", 5), (6, "and these are others again, under one id", 1)]) or kept(1) == sorted([(1, long, 5), (-1, long, 1), (-1, "", -1), (3, "", 0), (5, "short", 5), (6, "quite other words stand here", 1)])
+    cut = kept(2)
+    assert (2, "more", 4) in cut and cut.count((1, long, len(long))) == 2 and (-1, long, len(long)) in cut and (3, "", 0) in cut and len(cut) == len(rows)
+    assert kept(3) == every
+    spark.createDataFrame([(1, long)], "item_id long, text string").write.mode("overwrite").parquet(f"{tmp_path}/benchmark.parquet")
+    assert kept(3) == [r for r in every if not r[1].startswith("w0 ")]
+    out = corpus_pipeline.STAGES[4][1](spark, docs, str(tmp_path)).collect()
+    assert sorted(r.n_tokens > 0 for r in out) == sorted(bool(t) for _, t, *_ in rows)
