@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import argparse
 import sys
+from contextlib import nullcontext
 
 from pyspark.sql import DataFrame, SparkSession
 
 from .operators import listing, reconcile, rollup, trie
+from .plans.progress import Ticker, log, log_to
 from .plans.session import session
-from .plans.simulate import STRATEGIES, result_line
+from .plans.simulate import STRATEGIES, balance, result_line, seconds
 from .sources.listings import read_inventory, read_jsonl, write_jsonl
 from .sources.snapshot import read_snapshot, write_snapshot
 from .sources.synthetic import generate
@@ -23,6 +25,8 @@ def parser() -> argparse.ArgumentParser:
     def add(name: str, text: str) -> argparse.ArgumentParser:
         c = sub.add_parser(name, help=text)
         c.add_argument("table", help="folder of the table")
+        c.add_argument("--progress", type=float, default=0, metavar="SECONDS", help="report on running jobs that often; 0: never")
+        c.add_argument("--log", default="", metavar="FILE")
         return c
 
     c = add("load", "load listings from files")
@@ -49,6 +53,8 @@ def parser() -> argparse.ArgumentParser:
     c = add("sim", "requests of listing strategies")
     c.add_argument("--strategy", choices=["all", *STRATEGIES], default="all")
     c.add_argument("--max-depth", type=int, default=8)
+    c.add_argument("--workers", type=int, default=0, help="deal the work to so many workers, too")
+    c.add_argument("--latency", type=float, default=0.15, help="seconds of a request")
     c = add("rm", "delete a prefix from the table; a dry run unless --yes repeats the prefix")
     c.add_argument("prefix")
     c.add_argument("--yes", default="", metavar="PREFIX")
@@ -76,7 +82,15 @@ def show(df: DataFrame, out) -> None:
 def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=sys.stdout, store=None) -> int:
     args = parser().parse_args(argv)
     spark = spark or session()
+    log_to(args.log)
+    with Ticker(spark, args.command, args.progress) if args.progress > 0 else nullcontext():
+        run(args, spark, out, store)
+    return 0
+
+
+def run(args: argparse.Namespace, spark: SparkSession, out, store) -> None:
     table = InventoryTable(spark, args.table)
+    log.info("%s %s", args.command, args.table)
     if args.command == "load":
         read = {"jsonl": read_jsonl, "snapshot": read_snapshot}.get(args.format, lambda s, p: read_inventory(s, p, args.format))
         table.save(reconcile.deduped(read(spark, args.source)))
@@ -101,7 +115,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=s
         show(trie.trie_counts(objects), out)
     elif args.command == "sim":
         for name in STRATEGIES if args.strategy == "all" else [args.strategy]:
-            print(result_line(STRATEGIES[name](table.load(), max_depth=args.max_depth).first()), file=out)
+            text = result_line(STRATEGIES[name](table.load(), max_depth=args.max_depth).first())
+            if args.workers:
+                took = seconds(balance(table.load(), name, args.workers, args.max_depth), args.latency).first()
+                text += f" seconds={took.seconds:.1f} parallelism={took.parallelism:.1f}"
+            print(text, file=out)
     elif args.command == "rm":
         guards = reconcile.DeleteGuards(args.prefix, confirm=args.yes, dry_run=not args.yes, allow_versioned=args.allow_versioned, batch_size=args.batch_size, workers=args.workers)
         if args.bucket:
@@ -115,7 +133,6 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=s
     elif args.command == "export":
         rows = table.load().orderBy("key").limit(args.limit) if args.limit else table.load()
         (write_snapshot if args.format == "snapshot" else write_jsonl)(rows, args.path)
-    return 0
 
 
 if __name__ == "__main__":

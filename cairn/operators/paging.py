@@ -73,6 +73,11 @@ def chunks(objects: DataFrame, size: int = PAGE) -> DataFrame:
     return rows.join(before, "chunk", "left").select("chunk", F.coalesce("start_from", F.lit("")).alias("start_from"), "first_key", "last_key", "objects", "bytes")
 
 
+def batch_log(batches: DataFrame) -> DataFrame:
+    """(chunk, line): of each batch how many objects it has, its first key and its last."""
+    return batches.select("chunk", F.format_string("%d: %d objects, %s to %s", "chunk", "objects", "first_key", "last_key").alias("line"))
+
+
 def visible(cursor: int, rows: int, total: int) -> tuple[int, int]:
     """The first and the end of the entries to show so that the cursor stands in the middle where it can."""
     rows = max(rows, 1)

@@ -78,5 +78,11 @@ def load_stats(loads: DataFrame) -> DataFrame:
     return loads.agg(F.min("requests").alias("least"), F.max("requests").alias("most"), F.round(F.var_pop("requests"), 6).alias("variance"))
 
 
+def seconds(loads: DataFrame, latency: float) -> DataFrame:
+    """One row: how long the worker with most requests takes, one after the other, and the workers' mean share of that time."""
+    most = F.max("requests")
+    return loads.agg((most * latency).alias("seconds"), F.round(F.sum("requests") / most, 6).alias("parallelism"))
+
+
 def result_line(row) -> str:
     return f"{row['strategy']:<16} requests={row['requests']:<9} per request={row['per_request']:<9.1f} contents={row['contents']:<9} prefixes={row['common_prefixes']}"

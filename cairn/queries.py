@@ -417,6 +417,11 @@ def page_all(objects):
     return paging.all_pages(objects, "orders/", 250)
 
 
+@query("SELECT c AS chunk, c || ': ' || n || ' objects, ' || f || ' to ' || l AS line FROM (SELECT (r - 1) // 1000 AS c, min(key) AS f, max(key) AS l, count(*) AS n FROM (SELECT key, row_number() OVER (ORDER BY key) AS r FROM objects) GROUP BY 1)")
+def batch_log(objects):
+    return paging.batch_log(paging.chunks(objects))
+
+
 @query("SELECT c AS chunk, coalesce(lag(l) OVER (ORDER BY c), '') AS start_from, f AS first_key, l AS last_key, n AS objects, b AS bytes FROM (SELECT (r - 1) // 1000 AS c, min(key) AS f, max(key) AS l, count(*) AS n, CAST(sum(size) AS BIGINT) AS b FROM (SELECT key, size, row_number() OVER (ORDER BY key) AS r FROM objects) GROUP BY 1)")
 def chunks(objects):
     return paging.chunks(objects)

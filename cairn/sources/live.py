@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..operators.reconcile import DeleteGuards, delete_outcome, delete_stats, delete_victims
+from ..plans.progress import log
 from ..plans.session import stored
 from ..schema import DELIMITER, PAGE
 
@@ -212,13 +213,18 @@ def probe(lister: Lister, bucket: str, prefix: str) -> tuple[list[tuple[str, int
     return files, below
 
 
-def plan(lister: Lister, bucket: str, prefix: str, max_depth: int, workers: int = 32) -> list[Work]:
-    """Prefixes at the depth limit, directories with many files of their own, and the objects met on the way. workers: probes at a time."""
+def plan(lister: Lister, bucket: str, prefix: str, max_depth: int, workers: int = 32, waiting: Callable[[int], None] | None = None) -> list[Work]:
+    """Prefixes at the depth limit, directories with many files of their own, and the objects met on the way.
+
+    workers: probes at a time; waiting is told how many prefixes of a level are still to be probed. The first probe that fails ends the plan.
+    """
     level, work, seen = [prefix], [], []
     with ThreadPoolExecutor(max(1, workers)) as pool:
         for _ in range(max_depth):
             after: list[str] = []
-            for p, (files, below) in zip(level, pool.map(lambda p: probe(lister, bucket, p), level), strict=True):
+            for left, p, (files, below) in zip(range(len(level) - 1, -1, -1), level, pool.map(lambda p: probe(lister, bucket, p), level), strict=True):
+                if waiting:
+                    waiting(left)
                 after += below
                 if files is None:
                     work.append(Work(p, [], shallow=True))
@@ -238,7 +244,9 @@ class ListingReader(DataSourceReader):
         self.make, self.bucket, self.prefix, self.max_depth, self.workers = make, bucket, prefix, max_depth, workers
 
     def partitions(self) -> list[Work]:
-        return plan(self.make(), self.bucket, self.prefix, self.max_depth, self.workers) or [Work(None, [])]
+        work = plan(self.make(), self.bucket, self.prefix, self.max_depth, self.workers, lambda n: log.debug("%d prefixes wait", n))
+        log.info("%s: %d prefixes to list, %d objects met by probes", self.bucket, sum(w.prefix is not None for w in work), sum(len(w.objects) for w in work))
+        return work or [Work(None, [])]
 
     def read(self, partition: Work) -> Iterator[tuple]:
         yield from partition.objects

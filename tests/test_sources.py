@@ -8,6 +8,7 @@ from pyspark.errors import PySparkException
 
 from cairn import cli
 from cairn.operators import reconcile, rollup
+from cairn.plans import progress
 from cairn.schema import OBJECTS
 from cairn.sources import listings, live, snapshot, synthetic
 from cairn.sources.table import InventoryTable, table_path
@@ -226,6 +227,8 @@ def test_cli(spark, tmp_path):
     assert run("list", "--prefix", "none/") == "(empty)\n"
     assert len(run("stats").splitlines()) == 3
     assert "s3-current" in run("sim")
+    sim = run("sim", "--strategy", "s4-worksteal", "--workers", "3", "--latency", "2", "--log", str(tmp_path / "log.txt"))
+    assert "seconds=" in sim and "parallelism=" in sim and "sim" in (tmp_path / "log.txt").read_text()
     assert run("rm", "a/").startswith("4\t12\t0\t4")
     run("rm", "a/", "--yes", "a/")
     assert run("list").startswith("z") or "a/" not in run("list")
@@ -235,3 +238,30 @@ def test_cli(spark, tmp_path):
     assert "frames/" in run("list", "--sort", "size", "--reverse", "--dirs-first")
     run("export", str(tmp_path / "x.jsonl"), "--format", "jsonl", "--limit", "3")
     assert [r[0] for r in rows_of(listings.read_jsonl(spark, str(tmp_path / "x.jsonl")))] == [r.key for r in synthetic.generate(spark, 2).orderBy("key").limit(3).collect()]
+
+
+def test_ticker(spark):
+    lines = []
+    with progress.Ticker(spark, "count", 0.05, report=lines.append):
+        spark.range(0, 40, 1, 8).foreach(lambda _: time.sleep(0.05))
+    assert lines[-1].startswith("count: done after") and any("tasks (" in x for x in lines[:-1])
+    with pytest.raises(ValueError), progress.Ticker(spark, "x", 1, report=lines.append):
+        raise ValueError
+    assert lines[-1].startswith("x: failed")
+    assert progress.line("load", 5, 20, 10) == "load: 5/20 tasks (25%), 10 s, 30 s to go"
+    assert progress.line("load", 0, 0, 1) == "load: 0/0 tasks (-), 1 s"
+
+
+def test_waiting_prefixes_and_the_first_failure():
+    rows = [(f"d{i}/f", 1, "") for i in range(4)]
+    told = []
+    live.plan(live.Emulator(rows), "b", "", 2, waiting=told.append)
+    assert told == [0, 3, 2, 1, 0]
+
+    def broken(bucket, prefix, delimiter, token):
+        if prefix == "d2/":
+            raise OSError("gone")
+        return live.Emulator(rows)(bucket, prefix, delimiter, token)
+
+    with pytest.raises(OSError, match="gone"):
+        live.plan(broken, "b", "", 2)
