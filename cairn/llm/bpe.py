@@ -7,7 +7,7 @@ A text's encoding is the product of its halves' encodings, under a join that rep
   all neighbours are compatible: up to the first merge over some token's end, every token's bytes go through the merges
   that they go through alone, so the first such merge would also happen in the pair on its own. Joining two encodings
   therefore re-encodes a window of i tokens on either side of the seam, and doubles i until the window's outer neighbours
-  are compatible with what stays. Matches, halves, windows and pairs that came before are remembered.
+  are compatible with what stays. Matches, halves and pairs of tokens that came before are remembered.
 * Between matches, a match depends on the text from its start on only. Halves split on their own are joined by
   splitting anew from the last match of the left half that provably ends before the cut, until a boundary meets one
   that the right half found; from there on both splits are the same. Leaves of this tree are LEAF characters.
@@ -31,24 +31,31 @@ from pyspark.sql import functions as F
 
 from .common import with_struct
 
-#: Characters of a leaf of the tree over a text; results of a kind that a worker remembers, and bytes of what is remembered at most.
-LEAF, MEMO, SHORT = 512, 100_000, 48
+#: Characters of a leaf of the tree over a text; results of a kind that a worker remembers, about, and bytes of what is remembered
+#: at most; neighbours that are joined at once when decoding.
+LEAF, MEMO, SHORT, FAN = 512, 150_000, 48, 16
+#: Bytes of a window beyond which its pairs are queued; the rank of a pair that is no token.
+WIDE, NEVER = 256, 1 << 40
 #: Characters behind a match that the pattern may look at ('ll after an apostrophe).
 LOOK = 3
 
 
 class _Memo(dict):
-    """Results of a function of short keys, kept while there is room; long keys are computed each time."""
+    """Results of a function of short keys. When there is no room, those not asked for since the last time go."""
 
     def __init__(self, make: Callable):
-        self.make = make
+        self.make, self.older = make, {}
 
     def __missing__(self, key):
-        out = self.make(key)
-        if len(key) <= SHORT:
-            if len(self) >= MEMO:
-                self.clear()
-            self[key] = out
+        if len(key) > SHORT:
+            return self.make(key)
+        out = self.older.get(key)
+        if out is None:
+            out = self.make(key)
+        if len(self) >= MEMO:
+            self.older = dict(self)
+            self.clear()
+        self[key] = out
         return out
 
 
@@ -58,10 +65,27 @@ class Tokenizer:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.bytes_of = {i: b for b, i in ranks.items()}
-        self.known, self.parts, self.windows, self.fits = _Memo(self.match), _Memo(self.tree), _Memo(self.merged), _Memo(self.compatible)
+        self.known, self.parts, self.pairs = _Memo(self.match), _Memo(self.tree), _Memo(self.pair)
 
     def merged(self, raw: bytes) -> tuple[int, ...]:
-        """Merges by rank, leftmost first, by a queue of pairs: what the joins apply to their windows."""
+        """Merges by rank, leftmost first: what the joins apply to their windows."""
+        if len(raw) > WIDE:
+            return self.queued(raw)
+        ranks, get = self.ranks, self.ranks.get
+        parts = [raw[i : i + 1] for i in range(len(raw))]
+        order = [get(raw[i : i + 2], NEVER) for i in range(len(raw) - 1)]
+        while order and (best := min(order)) < NEVER:
+            i = order.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del order[i]
+            if i < len(order):
+                order[i] = get(parts[i] + parts[i + 1], NEVER)
+            if i:
+                order[i - 1] = get(parts[i - 1] + parts[i], NEVER)
+        return tuple([ranks[p] for p in parts])
+
+    def queued(self, raw: bytes) -> tuple[int, ...]:
+        """The same with a queue of pairs by rank and place, whose time does not grow with the square of a window."""
         ranks, n = self.ranks, len(raw)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         end = list(range(1, n + 1))  # of the part that begins here; 0: merged into the one before
@@ -94,21 +118,26 @@ class Tokenizer:
         half = len(raw) // 2
         return self.join(self.parts[raw[:half]], self.parts[raw[half:]])
 
+    def pair(self, pair: tuple[int, int]) -> tuple[int, ...]:
+        """What two neighbouring tokens become; the same two if they are compatible."""
+        return self.merged(self.bytes_of[pair[0]] + self.bytes_of[pair[1]])
+
     def join(self, left: tuple[int, ...], right: tuple[int, ...]) -> tuple[int, ...]:
         """The encoding of what two encodings of one match spell together."""
         if not left or not right:
             return left + right
-        of, fits, reach = self.bytes_of, self.fits, 1
+        pairs, of, reach = self.pairs, self.bytes_of, 1
+        window = pairs[left[-1], right[0]]
+        if window == (left[-1], right[0]):  # then nothing changes: all other neighbours are those of either side
+            return left + right
         while True:
             i, j = max(0, len(left) - reach), min(len(right), reach)
-            window = self.windows[b"".join([of[t] for t in left[i:] + right[:j]])]
-            if (not i or fits[left[i - 1], window[0]]) and (j == len(right) or fits[window[-1], right[j]]):
+            if reach > 1:
+                window = self.merged(b"".join([of[t] for t in left[i:] + right[:j]]))
+            if (not i or pairs[before := (left[i - 1], window[0])] == before) and (j == len(right) or pairs[after := (window[-1], right[j])] == after):
                 return left[:i] + window + right[j:]
             reach *= 2
 
-    def compatible(self, pair: tuple[int, int]) -> bool:
-        return self.windows[self.bytes_of[pair[0]] + self.bytes_of[pair[1]]] == pair
-
     def matches(self, text: str) -> list[str]:
         """The pattern's matches: halves, joined."""
         if len(text) <= LEAF:
@@ -146,8 +175,7 @@ class Tokenizer:
         """Bytes of ids, neighbours joined up the tree; an id outside the vocabulary is an error."""
         level = list(map(self.bytes_of.__getitem__, ids))
         while len(level) > 1:
-            odd = level[-1:] if len(level) % 2 else []
-            level = [a + b for a, b in zip(level[::2], level[1::2], strict=False)] + odd
+            level = [b"".join(level[i : i + FAN]) for i in range(0, len(level), FAN)]
         return level[0] if level else b""
 
 

@@ -54,7 +54,7 @@ def test_merges_of_windows(ranks):
                 break
             i = min(pairs)[1]
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        assert t.merged(raw) == t.tree(raw) == tuple(ranks[p] for p in parts)
+        assert t.merged(raw) == t.queued(raw) == t.tree(raw) == tuple(ranks[p] for p in parts)
 
 
 def test_the_tree_needs_no_library(ranks, library):
@@ -62,8 +62,8 @@ def test_the_tree_needs_no_library(ranks, library):
     t = bpe.Tokenizer(ranks, PATTERN)
     for s in ("The quick brown fox, it's said, jumped over 12345 lazy dogs.", "Engeberö geverü auf schö — naïve 漢字 😀"):
         for m in t.pattern.findall(s):
-            for memo in (t.known, t.parts, t.windows, t.fits):
-                memo.clear()
+            for memo in (t.known, t.parts, t.pairs):
+                memo.clear(), memo.older.clear()
             assert list(t.tree(m.encode())) == library.encode_ordinary(m)
     with open(bpe.__file__) as f:
         assert "tiktoken" not in f.read()
