@@ -35,24 +35,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
 BATCH_ROWS, BATCH_KEY = 512, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def _bound(df: DataFrame, spark: SparkSession) -> DataFrame:
+def _bound(df: DataFrame, jsession) -> DataFrame:
     """The same rows, computed under the settings of another session of the same context."""
-    made = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, df._jdf.queryExecution().analyzed())
-    return DataFrame(made, spark)
+    spark = df.sparkSession
+    return DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(jsession, df._jdf.queryExecution().analyzed()), spark)
 
 
 def in_small_batches(df: DataFrame) -> DataFrame:
     """df, to be computed with batches of BATCH_ROWS at most: in a session of its own, a copy of df's, whose settings no one else sees."""
     spark = df.sparkSession
     own = int(spark.conf.get(BATCH_KEY))
-    copy = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
-    copy.conf.set(BATCH_KEY, str(min(BATCH_ROWS, own) if own > 0 else BATCH_ROWS))
+    copy = spark._jsparkSession.cloneSession()
+    copy.conf().set(BATCH_KEY, str(min(BATCH_ROWS, own) if own > 0 else BATCH_ROWS))
     return _bound(df, copy)
 
 
 def checkpointed_in_small_batches(df: DataFrame) -> DataFrame:
     """checkpointed(df), its texts sent to Python in small batches; the result belongs to df's session."""
-    return _bound(checkpointed(in_small_batches(df)), df.sparkSession)
+    return _bound(checkpointed(in_small_batches(df)), df.sparkSession._jsparkSession)
 
 
 def release(df: DataFrame) -> None:
