@@ -66,6 +66,14 @@ class Space:
         cell = d.argmin(1)
         return cell, np.sqrt(((q - self.pivots[cell]) ** 2).sum(1))
 
+    def covered(self, q: np.ndarray) -> np.ndarray:
+        """A cell for each query, within whose radius it lies: its own one, unless rounding chose between two that are equally near."""
+        cell, off = self.cells(q)
+        for i in np.flatnonzero((off > self.far[cell]) | (self.n[cell] == 0)).tolist():
+            every = np.sqrt(((q[i] - self.pivots) ** 2).sum(1))
+            cell[i] = np.where((every <= self.far) & (self.n > 0), every, np.inf).argmin()
+        return cell
+
     def bounds(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of each vector and cell, a score that all of the cell's queries reach with it, and one that none exceeds."""
         length = np.sqrt((x * x).sum(1))[:, None]
@@ -159,7 +167,7 @@ def _route(spaces: dict[int, Space]):
             for i, c in np.argwhere(needs & ~s.wide).tolist():
                 take.append(i), names.append(f"{d}/{c}/{spread[i] % s.parts[c]}"), kinds.append(False)
             queries = np.flatnonzero(np.asarray(b.column("is_query").to_numpy(zero_copy_only=False), bool))
-            cells = s.cells(x[queries])[0].tolist() if len(queries) else []
+            cells = s.covered(x[queries]).tolist() if len(queries) else []
             for i, c in zip(queries.tolist(), cells, strict=True):
                 if s.wide[c]:
                     to = [f"{d}/all/{spread[i] % s.blocks}/{part}" for part in range(s.wide_parts)]
