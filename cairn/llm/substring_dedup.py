@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import checkpointed_in_small_batches, groups_for, shuffle_partitions
 
 #: Homes, or buckets, in one task; files' bytes in one home, text bytes in one step of a home, windows that one packed string holds at most, and how hard these are pressed.
-TASK_HOMES, HOME_BYTES, BLOCK_BYTES, RUN, LEVEL = 8, 2 << 20, 3 << 20, 64, 5
+TASK_HOMES, HOME_BYTES, BLOCK_BYTES, RUN, LEVEL = 32, 2 << 20, 3 << 20, 64, 5
 #: Bytes of a word beyond which it is hashed on its own.
 LONG = 256
 #: Contexts beyond which a minimiser's windows are spread, or that share of all; contexts in one task that are reported; pairs held in a task.
