@@ -5,6 +5,7 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from cairn.llm import language_id, queries, toxicity
@@ -184,6 +185,45 @@ def test_probabilities_against_brute_force(spark):
     assert toxicity.spans(model.ratios(toxicity.word_hashes("never ever")), 5) == pytest.approx([2 * expected["never"] / 5], rel=0.5)
 
 
+def test_scores_against_brute_force(spark):
+    """Tails of out-of-fold spans, surprises, the curve's optimum and the scores, all recomputed from the brute ratios."""
+    texts, marks = labelled(240, 33, size=12)
+    label = dict(marks)
+    fold = {i: zlib.crc32(str(i).encode()) % 5 for i, _ in texts}
+    rows = [(i, t, label[i]) for i, t in texts]
+    model = toxicity.train(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int"))
+    views = {f: brute_ratios(rows, [g for g in (1, 2, 3, 4) if g != f])[0] for f in (0, 1, 2, 3, 4)}
+
+    def ratios(text, f):
+        return [views[f].get(w, views[f]["never"]) for w in toxicity.WORD.findall(text.lower())]
+
+    def means(r, k):
+        return [sum(r[j : j + k]) / k for j in range(len(r) - k + 1)] if len(r) >= k else [sum(r) / k] if r else []
+
+    training = [(i, t, ratios(t, fold[i])) for i, t in texts if fold[i]]
+    for n, k in enumerate(toxicity.SPANS):
+        ordinary = [x for i, _, r in training if not label[i] for x in means(r, k)]
+        tail = [math.log((sum(x >= v - 1e-6 for x in ordinary) + 0.5) / (len(ordinary) + 1)) for v in toxicity.LEVELS]
+        assert model.tails[n] == pytest.approx(tail, abs=0.02)
+
+    def features(r):
+        out = []
+        for n, k in enumerate(toxicity.SPANS):
+            s = means(r, k)
+            x = len(s) * math.exp(np.interp(max(s), toxicity.LEVELS, model.tails[n])) if s else 99
+            out.append(-math.log(-math.expm1(-x)) if x < 30 else 0.0)
+        return [*out, sum(r) / len(r) if r else 0.0]
+
+    x, y = np.array([[1.0, *features(r)] for _, _, r in training]), np.array([label[i] for i, _, _ in training])
+    p = 1 / (1 + np.exp(-x @ model.curve))
+    slope = x.T @ (y - p) - np.array([1e-6, *[1e-2] * 3]) * model.curve
+    used = model.curve != 0
+    assert np.abs(slope[used]).max() < 0.05 and (model.curve[1:] >= 0).all()
+    for i, t in texts[:60]:
+        z = float(model.curve @ [1.0, *features(ratios(t, 0))])
+        assert model.score(toxicity.word_hashes(t)) == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-3)
+
+
 def test_counts_by_view_against_brute_force(spark):
     rnd = random.Random(32)
     rows = [(i, " ".join(rnd.choice("abcde") for _ in range(rnd.randint(0, 9))), rnd.randint(1, 4), i % 2) for i in range(60)]
