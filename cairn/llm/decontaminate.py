@@ -1,13 +1,14 @@
 """Benchmark decontamination by a distributed positional inverted index, in DataFrame operations only.
 
 1. Test items are cut into windows; the corpus is counted for their terms.
-2. The index holds postings (term, document, position) of each window's rarest terms over the whole corpus.
-3. A window's lists, each shifted by its term's offset in the window, are intersected from the rarest term on.
-4. Documents in which something is left, which are few, are compared word for word; no other text leaves the scan.
-   Positions, items and counts travel as numbers.
-
-Test tables, and the ids of those documents, are broadcast only while their counted rows are below SMALL; beyond it the same
-joins shuffle, and a term's list is then spread over SALTS keys.
+2. The index holds, over the whole corpus, the postings (term, document, position) of each window's rarest term, and with each
+   the postings around it, as far as a window reaches.
+3. A window's rarest list is shifted by its term's offset, and intersected with the lists of its other terms, rarest first, each
+   shifted by its own offset: these entries lie beside the posting, so no list is shuffled and no text leaves the scan.
+4. Positions, items and counts travel as numbers.
+
+Test tables are broadcast only while their counted rows are below SMALL; beyond it windows meet postings by a shuffle in
+which a term's list is spread over SALTS keys, and the corpus is read once for each SMALL rarest terms.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, text_table, unused
 
-#: Rows that are broadcast at most, the rarest terms whose lists are intersected, and keys that a list is spread over.
-SMALL, RAREST, SALTS = 200_000, 3, 16
+#: Rows that are broadcast at most, and keys that a list is spread over.
+SMALL, SALTS = 200_000, 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What separates words: ASCII other than digits and lower-case letters.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -52,82 +53,62 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return tokens.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
 
 
-def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """The index: (term, doc_id, th, pos) for every occurrence of the terms; th is a hash of the document's text."""
-    tokens = docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(words_of(F.col("text"))).alias("pos", "term"))
-    return tokens.join(terms, "term", "left_semi")
-
-
-def slots(windows: DataFrame, counts: DataFrame, rarest: int) -> DataFrame:
-    """(win, n, slots): for windows all of whose terms occur, the terms to look up, rarest first, with their offsets."""
+def slots(windows: DataFrame, counts: DataFrame) -> DataFrame:
+    """(win, n, slots): for windows all of whose terms occur, their terms with their offsets, rarest first."""
     each = windows.select("win", "n", F.posexplode("terms").alias("off", "term")).join(counts, "term")
-    ranked = each.groupBy("win", "n").agg(F.sort_array(F.collect_list(F.struct("df", "off", "term"))).alias("s"))
-    return ranked.where(F.size("s") == F.col("n")).select("win", "n", F.expr(f"slice(s, 1, {rarest})").alias("slots"))
+    ranked = each.groupBy("win", "n").agg(F.sort_array(F.collect_list(F.struct("df", "off", "term"))).alias("slots"))
+    return ranked.where(F.size("slots") == F.col("n"))
+
 
+def postings(docs: DataFrame, terms: DataFrame, reach: int) -> DataFrame:
+    """The index: (term, doc_id, th, pos, base, around) for every occurrence of the terms.
 
-def _prepared(docs: DataFrame, items: DataFrame, item_col: str, item_text: str, window: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Windows with their items; lists (win, n, slots) by all of a window's terms, rarest first; the index of the rarest ones' postings."""
+    th is a hash of the document's text; around holds the words from position base on that lie at most `reach` places from pos.
+    """
+    words = docs.select("doc_id", F.xxhash64("text").alias("th"), words_of(F.col("text")).alias("w"))
+    tokens = words.select("doc_id", "th", "w", F.posexplode("w").alias("pos", "term"))
+    base = F.greatest(F.col("pos") - reach, F.lit(0))
+    rows = terms.count()
+    passes, out = max(1, -(-rows // max(1, SMALL))), None
+    for i in range(passes):  # each joins in the scan, so that whole texts meet no shuffle
+        some = F.broadcast(terms.where(F.pmod(F.xxhash64("term"), F.lit(passes)) == i))
+        part = tokens.join(some, "term", "left_semi").select("term", "doc_id", "th", "pos", base.alias("base"), F.slice("w", base + 1, F.col("pos") - base + 1 + reach).alias("around"))
+        out = part if out is None else out.unionAll(part)
+    return out
+
+
+def _prepared(docs: DataFrame, items: DataFrame, item_col: str, item_text: str, window: int, slop: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Windows with their items; (win, n, slots, off, doc_id, th, pos, base, around): the rarest lists of all windows, off being the rarest term's offset."""
     windows = checkpointed(test_windows(items, item_col, item_text, window))
     terms = checkpointed(windows.select(F.explode("terms").alias("term")).distinct())
     counts = checkpointed(term_counts(docs, sized(terms, terms.count())))
-    lists = checkpointed(slots(windows.select("win", "n", "terms").distinct(), counts, window))
-    wanted = checkpointed(lists.select(F.explode(F.slice("slots", 1, RAREST)["term"]).alias("term")).distinct())
-    return windows, lists, checkpointed(postings(docs, sized(wanted, wanted.count())))
-
-
-def _with_rarest(index: DataFrame, lists: DataFrame) -> DataFrame:
-    """Postings of each window's rarest term, with at: where the window would begin."""
-    first = lists.select("win", "n", "slots", F.col("slots")[0]["term"].alias("term"), F.col("slots")[0]["off"].alias("off"))
-    rows = first.count()
+    lists = checkpointed(slots(windows.select("win", "n", "terms").distinct(), counts).select("win", "n", "slots", F.col("slots")[0]["term"].alias("term"), F.col("slots")[0]["off"].alias("off")))
+    wanted = checkpointed(lists.select("term").distinct())
+    index = checkpointed(postings(docs, wanted, window - 1 + slop))
+    rows = lists.count()
     if rows <= SMALL:
-        joined = index.join(F.broadcast(first), "term")
-    else:
-        spread = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = index.withColumn("salt", F.pmod(F.xxhash64("doc_id", "pos"), F.lit(SALTS)).cast("int")).join(spread, ["term", "salt"])
-    return joined.select("win", "n", "slots", "doc_id", "th", (F.col("pos") - F.col("off")).alias("at"))
+        return windows, index.join(F.broadcast(lists), "term")
+    spread = lists.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return windows, index.withColumn("salt", F.pmod(F.xxhash64("doc_id", "pos"), F.lit(SALTS)).cast("int")).join(spread, ["term", "salt"])
 
 
-def phrase_candidates(index: DataFrame, lists: DataFrame) -> DataFrame:
-    """(win, n, doc_id, th, at): where the windows' RAREST rarest terms all stand at their offsets; a document of th and doc_id once."""
-    found = _with_rarest(index, lists).where("at >= 0")
-    for k in range(1, RAREST):
-        slot = F.get(F.col("slots"), F.lit(k))
-        more = index.select(F.col("term").alias("t"), F.col("doc_id").alias("d"), F.col("th").alias("h"), F.col("pos").alias("p"))
-        match = (F.col("t") == slot["term"]) & F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("th")) & (F.col("p") == F.col("at") + slot["off"])
-        short = found.where(F.size("slots") <= k)
-        found = found.where(F.size("slots") > k).join(more, match, "left_semi").unionAll(short)
-    return found.select("win", "n", "doc_id", "th", "at").distinct()
+def _phrases(lists: DataFrame) -> DataFrame:
+    """(doc_id, th, win, n, at): where all of a window's terms stand at their offsets. Rows that repeat a document are one."""
+    fits = F.expr("forall(slots, s -> get(around, pos - base - off + s.off) = s.term)")
+    return lists.where(fits).select("doc_id", "th", "win", "n", (F.col("pos") - F.col("off")).alias("at")).distinct()
 
 
 def _same_document(left: str, right: str) -> Column:
     return F.col(f"{left}.doc_id").eqNullSafe(F.col(f"{right}.doc_id")) & (F.col(f"{left}.th") == F.col(f"{right}.th"))
 
 
-def _words_of_those(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """(doc_id, th, w): the words of the documents that places name, each once; texts of others stay where they are."""
-    some = checkpointed(places.select("doc_id", "th").distinct())
-    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
-    named = keyed.alias("l").join(sized(some, some.count()).alias("r"), _same_document("l", "r"), "left_semi")
-    return named.dropDuplicates(["doc_id", "th"]).select("doc_id", "th", words_of(F.col("text")).alias("w"))
-
-
-def _matches(docs: DataFrame, index: DataFrame, lists: DataFrame) -> DataFrame:
-    """(doc_id, th, win, n, at): where windows stand, word for word."""
-    found = checkpointed(phrase_candidates(index, lists))
-    words = _words_of_those(docs, found)
-    both = found.alias("l").join(words.alias("r"), _same_document("l", "r"))
-    return both.where(F.expr("array_join(slice(w, at + 1, n), ' ') = win")).select("l.doc_id", "l.th", "win", "n", "at")
-
-
 def phrase_matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 10) -> DataFrame:
     """(doc_id, th, win, n, at): a row for each place, in words from 0, where a window of an item stands in a document.
 
     th is a hash of the document's text: rows that repeat id and text are one document, rows that share an id are several.
     Nulls and empty tables are met as by contamination.
     """
-    docs = text_table(docs, id_col, text_col)
-    _, lists, index = _prepared(docs, items, item_col, item_text, window)
-    return _matches(docs, index, lists)
+    return _phrases(_prepared(text_table(docs, id_col, text_col), items, item_col, item_text, window)[1])
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 10) -> DataFrame:
@@ -139,8 +120,8 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     hit. Extra columns are left out. A row's item_ids hold at most as many strings as there are items.
     """
     docs = text_table(docs, id_col, text_col)
-    windows, lists, index = _prepared(docs, items, item_col, item_text, window)
-    matches = checkpointed(_matches(docs, index, lists))
+    windows, lists = _prepared(docs, items, item_col, item_text, window)
+    matches = checkpointed(_phrases(lists))
     hit = matches.select("doc_id", "th", F.explode(F.expr("sequence(at, at + n - 1)")).alias("p")).distinct().groupBy("doc_id", "th").agg(F.count("*").alias("n_hit"))
     held = matches.select("doc_id", "th", "win").distinct().join(sized(windows.select("win", "item"), windows.count()), "win")
     listed = held.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("item")).alias("item_ids"))
@@ -169,12 +150,9 @@ def proximity_matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
     term, one word may serve twice. The rarest term's list gives the places to try. Documents are known by id and text, as by
     phrase_matches; null and empty texts and items match nothing, empty tables give no rows.
     """
-    docs = text_table(docs, id_col, text_col)
-    _, lists, index = _prepared(docs, items, item_col, item_text, window)
-    near = _with_rarest(index, lists).distinct()
-    near = checkpointed(near.select("win", "slots", "doc_id", "th", F.explode(F.expr(f"sequence(at - {slop}, at)")).alias("at")).distinct())
-    both = near.alias("l").join(_words_of_those(docs, near).alias("r"), _same_document("l", "r"))
+    _, lists = _prepared(text_table(docs, id_col, text_col), items, item_col, item_text, window, slop)
+    tried = lists.withColumn("at", F.explode(F.expr(f"sequence(pos - off - {slop}, pos - off)")))
     low = "greatest(at + s.off, 0)"
-    shifts = F.expr(f"transform(slots, s -> if(at + s.off + {slop} < 0, null, {low} - at - s.off - 1 + nullif(array_position(slice(w, {low} + 1, at + s.off + {slop} - {low} + 1), s.term), 0)))")
-    found = both.select("win", "l.doc_id", "l.th", "at", shifts.alias("x")).where(F.expr("forall(x, y -> y is not null) and array_min(x) = 0"))
-    return found.select("win", "doc_id", "th", "at", F.array_max("x").cast("int").alias("spread"))
+    shifts = F.expr(f"transform(slots, s -> if(at + s.off + {slop} < 0, null, {low} - at - s.off - 1 + nullif(array_position(slice(around, {low} - base + 1, at + s.off + {slop} - {low} + 1), s.term), 0)))")
+    found = tried.select("win", "doc_id", "th", "at", shifts.alias("x")).where(F.expr("forall(x, y -> y is not null) and array_min(x) = 0"))
+    return found.select("win", "doc_id", "th", "at", F.array_max("x").cast("int").alias("spread")).distinct()

@@ -44,7 +44,7 @@ def test_random(spark, monkeypatch):
     items = [(i, text(rnd.randint(0, 14))) for i in range(8)] + [(8, None), (9, "a a a a a"), (10, "--"), (11, "A"), (12, "zzz never seen here")]
     for window in (3, 5):
         assert run(spark, docs, items, window) == brute(docs, items, window)
-    monkeypatch.setattr(de, "SMALL", 0)  # no table is broadcast, lists are spread
+    monkeypatch.setattr(de, "SMALL", 2)  # no table is broadcast, lists are spread, the corpus is read several times
     assert run(spark, docs, items, 4) == brute(docs, items, 4)
 
 
