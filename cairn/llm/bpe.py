@@ -31,9 +31,10 @@ from pyspark.sql import functions as F
 
 from .common import with_struct
 
-#: Characters of a leaf of the tree over a text; results of a kind that a worker remembers, about, and bytes of what is remembered
-#: at most; neighbours that are joined at once when decoding.
-LEAF, MEMO, SHORT, FAN = 512, 150_000, 48, 16
+#: Characters of a leaf of the tree over a text; bytes of what is remembered at most; neighbours that are joined at once when decoding.
+LEAF, SHORT, FAN = 512, 48, 16
+#: Matches, halves of matches and pairs of tokens that a worker remembers: between so many and twice as many.
+MATCHES, HALVES, PAIRS = 60_000, 50_000, 80_000
 #: Bytes of a window beyond which its pairs are queued; the rank of a pair that is no token.
 WIDE, NEVER = 256, 1 << 40
 #: Characters behind a match that the pattern may look at ('ll after an apostrophe).
@@ -43,8 +44,8 @@ LOOK = 3
 class _Memo(dict):
     """Results of a function of short keys. When there is no room, those not asked for since the last time go."""
 
-    def __init__(self, make: Callable):
-        self.make, self.older = make, {}
+    def __init__(self, make: Callable, most: int):
+        self.make, self.most, self.older = make, most, {}
 
     def __missing__(self, key):
         if len(key) > SHORT:
@@ -52,7 +53,7 @@ class _Memo(dict):
         out = self.older.get(key)
         if out is None:
             out = self.make(key)
-        if len(self) >= MEMO:
+        if len(self) >= self.most:
             self.older = dict(self)
             self.clear()
         self[key] = out
@@ -65,7 +66,7 @@ class Tokenizer:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.bytes_of = {i: b for b, i in ranks.items()}
-        self.known, self.parts, self.pairs = _Memo(self.match), _Memo(self.tree), _Memo(self.pair)
+        self.known, self.parts, self.pairs = _Memo(self.match, MATCHES), _Memo(self.tree, HALVES), _Memo(self.pair, PAIRS)
 
     def merged(self, raw: bytes) -> tuple[int, ...]:
         """Merges by rank, leftmost first: what the joins apply to their windows."""
@@ -168,6 +169,11 @@ class Tokenizer:
                 return n
         return 0
 
+    def forget(self) -> None:
+        """What was remembered goes, so that a worker holds nothing between tasks."""
+        for memo in (self.known, self.parts, self.pairs):
+            memo.clear(), memo.older.clear()
+
     def encode(self, text: str | None) -> list[int]:
         return list(chain.from_iterable(map(self.known.__getitem__, self.matches(text or ""))))
 
@@ -194,6 +200,7 @@ def _batched(path: str, pattern: str, make: Callable, names: list[str]) -> Calla
         tokenizer = _tokenizer(path, pattern)
         for s in batches:
             yield pd.DataFrame([make(tokenizer, x) for x in s], columns=names)
+        tokenizer.forget()
 
     return run
 

@@ -223,6 +223,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = checkpointed(pairs.select(F.explode(F.array("da", "db")).alias("doc_id")).distinct())
     held = texts.join(F.broadcast(wanted) if wanted.count() <= SMALL else wanted, "doc_id", "left_semi")
     held = held.select("text", wide("text")["copy"].alias("copy")).dropDuplicates(["copy"])  # rows that share an id may hold other words
+    held = checkpointed_in_small_batches(held)  # so that no task needs two Python workers at a time
     one, other = (held.select(F.col("copy").alias(f"c{c}"), F.col("text").alias(f"t{c}")) for c in "ab")
     links = pairs.join(one, "ca").join(other, "cb").select("a", "b", like("ta", "tb").alias("like"))
     links = checkpointed_in_small_batches(links).where(F.col("like") >= least)

@@ -27,7 +27,8 @@ def test_halves_join_to_the_whole(ranks, library, monkeypatch, alphabet):
     t = bpe.Tokenizer(ranks, PATTERN)
     for _ in range(250):
         monkeypatch.setattr(bpe, "LEAF", rnd.choice([4, 8, 16, 64]))
-        monkeypatch.setattr(bpe, "MEMO", rnd.choice([0, 3, 1000]))
+        for memo in (t.known, t.parts, t.pairs):
+            memo.most = rnd.choice([0, 3, 1000])
         s = "".join(rnd.choice(alphabet) for _ in range(rnd.choice([0, 1, 3, 10, 50, 300])))
         ids = t.encode(s)
         assert ids == library.encode_ordinary(s)
@@ -62,8 +63,7 @@ def test_the_tree_needs_no_library(ranks, library):
     t = bpe.Tokenizer(ranks, PATTERN)
     for s in ("The quick brown fox, it's said, jumped over 12345 lazy dogs.", "Engeberö geverü auf schö — naïve 漢字 😀"):
         for m in t.pattern.findall(s):
-            for memo in (t.known, t.parts, t.pairs):
-                memo.clear(), memo.older.clear()
+            t.forget()
             assert list(t.tree(m.encode())) == library.encode_ordinary(m)
     with open(bpe.__file__) as f:
         assert "tiktoken" not in f.read()

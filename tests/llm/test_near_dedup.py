@@ -1,5 +1,7 @@
 import random
+from pathlib import Path
 
+import pandas as pd
 import xxhash
 from pyspark.sql import functions as F
 
@@ -179,3 +181,36 @@ def test_numbered(spark):
     got = common.numbered(df, ["g"], [F.col("id")], "n", F.xxhash64("id"), 4).collect()
     for g in range(3):
         assert sorted(r.n for r in got if r.g == g) == list(range(sum(i % 3 == g for i in range(500))))
+
+
+def batch_sizes(df):
+    @F.pandas_udf("long")
+    def size(x: pd.Series) -> pd.Series:
+        return pd.Series([len(x)] * len(x))
+
+    return [r.n for r in df.select(size(df.columns[0]).alias("n")).distinct().collect()]
+
+
+def test_small_batches_leave_the_session_alone(spark):
+    before, df = spark.conf.get(common.BATCH_KEY), spark.range(3000).coalesce(1)
+    assert max(batch_sizes(common.in_small_batches(df))) == common.BATCH_ROWS
+    assert spark.conf.get(common.BATCH_KEY) == before and max(batch_sizes(df)) == 3000
+    kept = common.checkpointed_in_small_batches(df)
+    assert kept.join(spark.range(5), "id").count() == 5 and max(batch_sizes(kept)) == 3000
+
+
+def test_batches_of_long_texts_are_bounded_by_bytes(spark):
+    df = spark.range(120).coalesce(1).select(F.repeat(F.concat(F.col("id").cast("string"), F.lit("x")), 1_000_000).alias("t"))
+    assert max(batch_sizes(df)) < 60  # some 3 MB each, 64 MB a batch
+
+
+def test_release_and_unused_names(spark):
+    df = common.checkpointed(spark.range(10))
+    file = Path(df._jdf.queryExecution().analyzed().rdd().getCheckpointFile().get().removeprefix("file:"))
+    assert file.exists() and df.count() == 10
+    common.release(df)
+    assert not file.exists()
+    common.release(spark.range(3))  # nothing to delete
+    named = spark.createDataFrame([(1, 2, 3)], "made int, MADE_ int, x int")
+    assert common.unused(named, "made") == "made__"
+    assert common.with_struct(named, F.struct(F.lit(7).alias("x")), ["x"]).collect()[0] == (1, 2, 7)
