@@ -139,8 +139,8 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, ro
 _OP5 = """
 WITH r AS (SELECT DISTINCT page_id, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), '') || '>' || chr(13) || chr(10)
     || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10)
-    || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS t FROM pages)
-SELECT page_id, CAST(strlen(t) AS BIGINT) AS n_bytes, sha256(t) AS sha256, CASE WHEN page_id % 97 = 11 THEN 'missing' WHEN page_id % 61 = 7 AND reverse(html) <> html THEN 'corrupt' ELSE 'intact' END AS status FROM r
+    || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS t, coalesce(html, '') AS h FROM pages)
+SELECT page_id, CAST(strlen(t) AS BIGINT) AS n_bytes, sha256(t) AS sha256, CASE WHEN page_id % 97 = 11 THEN 'missing' WHEN page_id % 61 = 7 AND reverse(h) <> h THEN 'corrupt' ELSE 'intact' END AS status FROM r
 """
 
 SQL: dict[str, str] = {"op1_substring_dedup": _OP1, "op2_voronoi_knn": _OP2, "op5_warc_fixity": _OP5, "op6_decontaminate": _OP6}
