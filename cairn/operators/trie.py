@@ -66,13 +66,17 @@ def trie_nodes(objects: DataFrame) -> DataFrame:
 
 
 def with_children(nodes: DataFrame) -> DataFrame:
-    """nodes with their number of children. Each node counts one for its parent in the same pass; none is read twice."""
-    kept = [c for c in nodes.columns if c != "path"]
-    own = F.struct(F.col("path"), F.struct(*kept).alias("node"), F.lit(0).cast("long").alias("one"))
-    for_parent = F.struct(F.col("parent").alias("path"), F.lit(None).cast(nodes.select(F.struct(*kept).alias("x")).schema["x"].dataType).alias("node"), F.lit(1).cast("long").alias("one"))
+    """nodes with their number of children. Each node counts one for its parent in the same pass; none is read twice.
+
+    Only numbers are aggregated, in a hash table; a parent is what is left of a path without its edge.
+    """
+    own = F.struct(F.col("path"), F.col("edge"), (F.col("kind") == "leaf").cast("int").alias("leaf"), F.col("has_object").cast("int").alias("object"), F.lit(0).cast("long").alias("one"))
+    none = F.lit(None).cast("int")
+    for_parent = F.struct(F.col("parent").alias("path"), none.alias("edge"), none.alias("leaf"), none.alias("object"), F.lit(1).cast("long").alias("one"))
     rows = nodes.select(F.explode(F.array(own, for_parent)).alias("r")).select("r.*").where("path is not null")
-    sums = rows.groupBy("path").agg(F.max("node").alias("node"), F.sum("one").alias("children"))
-    return sums.select("path", *[F.col(f"node.{c}").alias(c) for c in kept], "children")
+    sums = rows.groupBy("path").agg(F.max("edge").alias("edge"), F.max("leaf").alias("leaf"), F.max("object").alias("object"), F.sum("one").alias("children"))
+    parent = F.when(F.col("path") != "", F.left("path", F.length("path") - F.col("edge")))
+    return sums.select("path", parent.alias("parent"), "edge", F.when(F.col("leaf") == 1, "leaf").otherwise("internal").alias("kind"), (F.col("object") == 1).alias("has_object"), "children")
 
 
 def trie_counts(objects: DataFrame) -> DataFrame:
