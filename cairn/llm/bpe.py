@@ -34,7 +34,7 @@ from .common import with_struct
 #: Characters of a leaf of the tree over a text; bytes of what is remembered at most; neighbours that are joined at once when decoding.
 LEAF, SHORT, FAN = 512, 48, 16
 #: Matches, halves of matches and pairs of tokens that a worker remembers: between so many and twice as many.
-MATCHES, HALVES, PAIRS = 60_000, 50_000, 80_000
+REMEMBERED = (150_000, 150_000, 150_000)
 #: Bytes of a window beyond which its pairs are queued; the rank of a pair that is no token.
 WIDE, NEVER = 256, 1 << 40
 #: Characters behind a match that the pattern may look at ('ll after an apostrophe).
@@ -63,10 +63,10 @@ class _Memo(dict):
 class Tokenizer:
     """Ranks of a vocabulary and the pattern that splits texts before the merges."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: tuple[int, int, int] = REMEMBERED):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.bytes_of = {i: b for b, i in ranks.items()}
-        self.known, self.parts, self.pairs = _Memo(self.match, MATCHES), _Memo(self.tree, HALVES), _Memo(self.pair, PAIRS)
+        self.known, self.parts, self.pairs = (_Memo(f, n) for f, n in zip((self.match, self.tree, self.pair), remembered, strict=True))
 
     def merged(self, raw: bytes) -> tuple[int, ...]:
         """Merges by rank, leftmost first: what the joins apply to their windows."""
@@ -190,14 +190,14 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
 
 
 @lru_cache(maxsize=2)
-def _tokenizer(path: str, pattern: str) -> Tokenizer:
+def _tokenizer(path: str, pattern: str, remembered: tuple[int, int, int]) -> Tokenizer:
     with open(path, "rb") as f:
-        return Tokenizer(read_ranks(f.read()), pattern)
+        return Tokenizer(read_ranks(f.read()), pattern, remembered)
 
 
-def _batched(path: str, pattern: str, make: Callable, names: list[str]) -> Callable:
+def _batched(path: str, pattern: str, make: Callable, names: list[str], remembered: tuple[int, int, int] = REMEMBERED) -> Callable:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        tokenizer = _tokenizer(path, pattern)
+        tokenizer = _tokenizer(path, pattern, remembered)
         for s in batches:
             yield pd.DataFrame([make(tokenizer, x) for x in s], columns=names)
         tokenizer.forget()
@@ -227,12 +227,12 @@ def bpe_decode(docs: DataFrame, path: str, pattern: str, ids_col: str = "token_i
     return docs.withColumn(out, udf(F.col(f"`{ids_col}`"))["raw"])
 
 
-def bpe_digest(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
+def bpe_digest(docs: DataFrame, path: str, pattern: str, text_col: str = "text", remembered: tuple[int, int, int] = REMEMBERED) -> DataFrame:
     """docs with n_tokens long, ids_sha256 and decoded_sha256 (lowercase hex), after encoding and decoding each text.
 
     Both digests are taken beside the ids, which are thus never written or shuffled. A null text counts as empty: no
     tokens. Rows are independent, so repeated rows come out alike; other columns pass unchanged whatever their names,
-    but input columns named as the three are replaced.
+    but input columns named as the three are replaced. remembered: results that a worker keeps, for time against memory.
     """
 
     def digest(tokenizer: Tokenizer, text: str | None) -> tuple:
@@ -241,5 +241,5 @@ def bpe_digest(docs: DataFrame, path: str, pattern: str, text_col: str = "text")
         return len(ids), sha256(listed).hexdigest(), sha256(tokenizer.decode(ids)).hexdigest()
 
     names = ["n_tokens", "ids_sha256", "decoded_sha256"]
-    udf = F.pandas_udf(_batched(path, pattern, digest, names), "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    udf = F.pandas_udf(_batched(path, pattern, digest, names, remembered), "n_tokens long, ids_sha256 string, decoded_sha256 string")
     return with_struct(docs, udf(F.col(f"`{text_col}`").cast("string")), names)
