@@ -1,6 +1,8 @@
 import random
+from collections import Counter
 from pathlib import Path
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import functions as F
@@ -167,6 +169,76 @@ def test_recall_of_near_duplicates(spark):
     assert sum(got[2 * i + 1] == 2 * i for i in range(pairs)) >= 0.95 * pairs
 
 
+def linked_pairs(texts, least=0.8):
+    return {(i, j) for j in range(len(texts)) for i in range(j) if sh.likeness(texts[i], texts[j]) >= least}
+
+
+def near_texts(rnd, n, frame):
+    """Texts around a common frame of words, each followed by one at a likeness about 0.8: words replaced, or a passage added or moved."""
+    texts = []
+    for i in range(n):
+        base = [*frame[: rnd.randint(0, len(frame))], *prose(rnd, rnd.choice([3, 8, 30, 90]))]
+        more = max(1, len(base) // 5 - rnd.randint(0, 6))
+        texts += [base, (edited(rnd, base, 0.02), base + prose(rnd, more), base[more:] + base[:more])[i % 3]]
+    return [" ".join(t) for t in texts]
+
+
+def test_no_link_is_missed(spark):
+    """Links that share no part, or meet only by way of a text that is like neither, are found as well."""
+    rnd = random.Random(21)
+    rows = list(enumerate(near_texts(rnd, 120, prose(rnd, 40))))
+    rnd.shuffle(rows)
+    got = sorted(tuple(r) for r in sh.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert got == sorted(zip([i for i, _ in rows], brute_near(rows), strict=True))
+
+
+def test_stars_lose_no_link(spark, monkeypatch):
+    """All texts share all parts, so that each is compared with the smallest alone, which is like none."""
+    whole = sh.wide_fingerprints
+    monkeypatch.setattr(sh, "wide_fingerprints", lambda texts: (whole(texts)[0], whole([None] * len(texts))[1]))
+    rnd = random.Random(22)
+    base = [prose(rnd, 60) for _ in range(3)]
+    rows = [(0, " ".join(prose(rnd, 60)))] + [(3 * i + j + 1, " ".join([*b, f"x{i}"])) for i in range(4) for j, b in enumerate(base)]
+    got = {r.doc_id: r.component_id for r in sh.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(zip([i for i, _ in rows], brute_near(rows), strict=True)) and len(set(got.values())) == 4
+
+
+def test_frequent_shingles(spark, monkeypatch):
+    rnd = random.Random(23)
+    texts = near_texts(rnd, 40, prose(rnd, 30)) + [None, "", "two words"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    monkeypatch.setattr(sh, "OFTEN", 3)
+    codes, n = sh.frequent_shingles(df, 5, 3)
+    rows = list(dict.fromkeys(tuple((t or "").encode().lower().split()) for t in texts))
+    held = [sh._distinct(sh.Words([b" ".join(w)]), 5)[0] for w in rows]
+    every = Counter(c for h in held for c in sh._codes(h, 3).tolist())
+    assert dict(zip(codes.tolist(), n.tolist(), strict=True)) == {c: k for c, k in every.items() if k > 3} and (codes[1:] > codes[:-1]).all()
+    monkeypatch.setattr(sh, "SMALL", 20)
+    some, most = sh.frequent_shingles(df, 5, 3)
+    assert 0 < len(some) <= 20 < len(codes) and most.min() > max(k for c, k in every.items() if c not in some.tolist())
+    monkeypatch.setattr(sh, "SMALL", 0)
+    assert len(sh.frequent_shingles(df, 5, 3)[0]) == 0
+
+
+def test_first_shingles_meet(monkeypatch):
+    """Whatever is taken for frequent, each link is among what meets, unless its ends have one root."""
+    rnd = random.Random(24)
+    texts = near_texts(rnd, 60, prose(rnd, 40))
+    links = linked_pairs(texts)
+    assert len(links) > 40
+    codes, n = np.unique(np.concatenate([sh._codes(sh._distinct(sh.Words([t.encode()]), 5)[0], 7) for t in texts]), return_counts=True)
+    for often in ((codes[:0], n[:0]), (codes[n > 2], n[n > 2]), (codes[::3], n[::3])):
+        digests, sizes, firsts = sh.first_shingles(texts, 5, 0.8, 7, often)
+        assert digests == sh.wide_fingerprints(texts)[0]
+        many = [len(f) for f in firsts]
+        rep = np.repeat(np.arange(len(texts)), many)
+        for held, root in ((sh.HELD, rep), (2, rep), (sh.HELD, rep // 2), (sh.HELD, 0 * rep)):
+            monkeypatch.setattr(sh, "HELD", held)
+            got = [tuple(p) for some in sh.meeting(np.concatenate(firsts), rep, root, np.repeat(sizes, many), np.concatenate([np.arange(m) for m in many]), 0.8) for p in some.tolist()]
+            of = dict(zip(rep.tolist(), root.tolist(), strict=True))
+            assert {(a, b) for a, b in links if of[a] != of[b]} <= set(got) and all(a < b and of[a] != of[b] for a, b in got)
+
+
 def test_keep_first(spark):
     rows = [(1, "a b c d", "x"), (2, "A b c d", "y"), (1, "a b c d", "x"), (3, "other words stand here now", "z"), (None, "a b c d", "n")]
     df = spark.createDataFrame(rows, "doc_id long, text string, n string")
