@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, checkpointed_in_small_batches, components, groups_for, parts_for, text_table, unused
+from .common import checkpointed, checkpointed_in_small_batches, checkpointed_lean, components, groups_for, parts_for, release, text_table, unused
 from .substring_dedup import BLOCK_BYTES, ODD, U, Words, _mixed
 
 #: Shingles whose bits are held at once; fingerprints whose variants one task emits, about.
@@ -197,7 +197,7 @@ def _near_pairs(nodes: DataFrame) -> DataFrame:
 
     nodes: (rep, node), a row for each document and part.
     """
-    led = checkpointed(nodes.groupBy("node").agg(F.min("rep").alias("lead"), F.max("rep").alias("most")))
+    led = checkpointed_lean(nodes.groupBy("node").agg(F.min("rep").alias("lead"), F.max("rep").alias("most")))
     shared = nodes.join(led.where("lead < most").select("node", "lead"), "node").select(F.col("lead").alias("a"), F.col("rep").alias("b"))
     bit = F.col("bit")
     spread = led.select("node").repartition(parts_for(nodes.sparkSession, led.count(), 2 * POINTS), "node")
@@ -246,7 +246,7 @@ def frequent_shingles(texts: DataFrame, shingle: int, groups: int) -> tuple[np.n
             yield pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), pa.array(n[n > OFTEN])], ["code", "n"])
 
     flat = texts.select("text").mapInArrow(sent, "g int, low binary").repartition(-(-groups // AT_ONCE), "g")
-    often = checkpointed_in_small_batches(flat.mapInArrow(counted, "code long, n long").withColumn("power", F.floor(4 * F.log2("n"))))
+    often = checkpointed_lean(flat.mapInArrow(counted, "code long, n long").withColumn("power", F.floor(4 * F.log2("n"))))
     kept, least = 0, None
     for power, n in sorted(often.groupBy("power").count().collect(), reverse=True):
         kept += n
@@ -333,11 +333,13 @@ def _missed(texts: DataFrame, reps: DataFrame, roots: DataFrame, shingle: int, l
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     named = reps.join(roots, reps.rep == roots.node, "left").select("copy", "doc_id", "rep", F.coalesce("root", "rep").alias("root"))
-    found = checkpointed_in_small_batches(texts.select("doc_id", first("text").alias("f")).select("doc_id", "f.*").where("size > 0"))
+    found = checkpointed_lean(texts.select("doc_id", first("text").alias("f")).select("doc_id", "f.*"))  # a filter here would run first twice, in two Python workers a task
     rows = int(found.agg(F.sum(F.size("firsts"))).first()[0] or 0)
     keys = found.join(named, ["copy", "doc_id"]).select("rep", "root", "size", F.posexplode("firsts").alias("at", "key"))
     dealt = keys.select("key", "rep", "root", "size", F.col("at").cast("long").alias("at")).repartition(parts_for(texts.sparkSession, rows, MET), "key")
-    return checkpointed(dealt.mapInArrow(met, "a long, b long").distinct())
+    pairs = checkpointed_lean(dealt.mapInArrow(met, "a long, b long").distinct(), small=False)
+    release(found)
+    return pairs
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
@@ -361,9 +363,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def like(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([likeness(x, y, shingle) for x, y in zip(a, b, strict=True)], dtype="float64")
 
-    marked = checkpointed_in_small_batches(texts.select("doc_id", wide("text").alias("w")).select("doc_id", "w.copy", "w.parts"))
+    marked = checkpointed_lean(texts.select("doc_id", wide("text").alias("w")).select("doc_id", "w.copy", "w.parts"))
     least_id = F.min("doc_id").alias("doc_id")
-    reps = checkpointed(marked.groupBy("copy").agg(least_id, F.any_value("parts").alias("parts")).withColumn("rep", F.monotonically_increasing_id()))
+    reps = checkpointed_lean(marked.groupBy("copy").agg(least_id, F.any_value("parts").alias("parts")).withColumn("rep", F.monotonically_increasing_id()))
     ends = [reps.select(F.col("rep").alias(c), F.col("parts").alias(f"p{c}"), F.col("copy").alias(f"c{c}"), F.col("doc_id").alias(f"d{c}")) for c in "ab"]
     apart = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
 
@@ -372,13 +374,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b, ca, cb, da, db), checkpointed ones, that are linked: by their texts."""
-        wanted = checkpointed(pairs.select(F.explode(F.array("da", "db")).alias("doc_id")).distinct())
+        wanted = checkpointed_lean(pairs.select(F.explode(F.array("da", "db")).alias("doc_id")).distinct())
         held = texts.join(F.broadcast(wanted) if wanted.count() <= SMALL else wanted, "doc_id", "left_semi")
         held = held.select("text", wide("text")["copy"].alias("copy")).dropDuplicates(["copy"])  # rows that share an id may hold other words
-        held = checkpointed_in_small_batches(held)  # so that no task needs two Python workers at a time
+        held = checkpointed_lean(held)  # so that no task needs two Python workers at a time
         one, other = (held.select(F.col("copy").alias(f"c{c}"), F.col("text").alias(f"t{c}")) for c in "ab")
         links = pairs.join(one, "ca").join(other, "cb").select("a", "b", like("ta", "tb").alias("like"))
-        return checkpointed_in_small_batches(links).where(F.col("like") >= least).select("a", "b")
+        found = checkpointed_lean(links)
+        release(wanted)
+        release(held)
+        return found.where(F.col("like") >= least).select("a", "b")
 
     def still_apart(pairs: DataFrame) -> DataFrame:
         """The pairs whose ends have different roots, with their roots ra and rb."""
@@ -387,15 +392,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pairs.where("ra <> rb")
 
     names = ("a", "b", "ca", "cb", "da", "db")
-    links = linked(checkpointed(known(_near_pairs(reps.select("rep", F.explode("parts").alias("node")))).where(apart <= FAR).select(*names)))
+    links = linked(checkpointed_lean(known(_near_pairs(reps.select("rep", F.explode("parts").alias("node")))).where(apart <= FAR).select(*names)))
     roots = checkpointed(components(links))
-    missed = checkpointed(known(still_apart(_missed(texts, reps, roots, shingle, least))).select(*names, "ra", "rb", apart.alias("apart")))
+    missed = checkpointed_lean(known(still_apart(_missed(texts, reps, roots, shingle, least))).select(*names, "ra", "rb", apart.alias("apart")))
     if missed.limit(1).count():  # the nearest two of each two components first, as most of the other pairs need no comparison after that
         nearest = missed.groupBy(F.least("ra", "rb"), F.greatest("ra", "rb")).agg(F.min_by(F.struct(*names), F.struct("apart", "a", "b")).alias("p"))
-        nearest = checkpointed(nearest.select("p.*"))
+        nearest = checkpointed_lean(nearest.select("p.*"))
         links = links.union(linked(nearest))
         roots = checkpointed(components(links))
-        others = checkpointed(still_apart(missed.select(*names).join(nearest, ["a", "b"], "left_anti")).select(*names))
+        others = checkpointed_lean(still_apart(missed.select(*names).join(nearest, ["a", "b"], "left_anti")).select(*names))
         if others.limit(1).count():
             links = links.union(linked(others))
             roots = checkpointed(components(links))

@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter
 from pathlib import Path
 
@@ -239,6 +240,37 @@ def test_first_shingles_meet(monkeypatch):
             assert {(a, b) for a, b in links if of[a] != of[b]} <= set(got) and all(a < b and of[a] != of[b] for a, b in got)
 
 
+def test_first_shingles_are_sought_once(spark, monkeypatch, tmp_path):
+    """A task that evaluates the function twice keeps two Python workers."""
+    whole, seen = sh.first_shingles, tmp_path / "seen"
+
+    def noted(texts, *more):
+        with seen.open("a") as f:
+            f.write("x" * len(texts))
+        return whole(texts, *more)
+
+    monkeypatch.setattr(sh, "first_shingles", noted)
+    rows = list(enumerate([*near_texts(random.Random(25), 20, ["a", "b", "c"]), None, ""]))
+    assert sh.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).count() == len(rows)
+    assert seen.stat().st_size == len(rows)
+
+
+def test_lean_checkpoints_leave_no_shuffle_files(spark):
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def held():
+        return {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(manager.getAllFiles()) if f.getName().startswith("shuffle_")}
+
+    before, key = held(), spark.conf.get(common.CLEAN_KEY)
+    kept = common.checkpointed_lean(spark.range(1000).repartition(3, "id"))
+    for _ in range(50):
+        if not held() - before:
+            break
+        time.sleep(0.1)
+    assert not held() - before and sorted(r.id for r in kept.collect()) == list(range(1000))
+    assert kept.sparkSession.conf.get(common.CLEAN_KEY) == key
+
+
 def test_keep_first(spark):
     rows = [(1, "a b c d", "x"), (2, "A b c d", "y"), (1, "a b c d", "x"), (3, "other words stand here now", "z"), (None, "a b c d", "n")]
     df = spark.createDataFrame(rows, "doc_id long, text string, n string")
