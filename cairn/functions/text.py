@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,8 +12,53 @@ from pyspark.sql import functions as F
 UNITS = ("KiB", "MiB", "GiB", "TiB", "PiB", "EiB")
 
 
+def _decimals(part: Column, places: int) -> Column:
+    """A part of one in units of the last decimal, rounded half to even on its exact value.
+
+    The product with a power of ten may round to a half, or from one. The distance to the nearest unit is exact, though: the
+    float that is nearest, and what it leaves of the double, are each short enough to be multiplied without rounding.
+    """
+    scale = float(10**places)
+    unit, high = F.rint(part * scale), part.cast("float").cast("double")
+    above, rest = high * scale - unit, (part - high) * scale
+    return (unit + F.when(above - 0.5 + rest > 0, 1.0).when(above + 0.5 + rest < 0, -1.0).otherwise(0.0)).cast("int")
+
+
+def _far_digits(x: Column) -> Column:
+    """All digits of a finite double from 2**63 on: its 53 bits in limbs of 15 digits, times 1024 as often as need be."""
+    base, zero = F.lit(10**15), F.lit(0).cast("bigint")
+    times = F.size(F.filter(F.sequence(F.lit(0), F.lit(96)), lambda k: x >= F.pow(F.lit(2.0), k * 10 + 63)))
+    start = F.floor(x / F.pow(F.lit(2.0), times * 10))
+
+    def add(held: Column, limb: Column) -> Column:
+        n = limb * 1024 + held.carry
+        return F.struct(F.call_function("div", n, base).alias("carry"), F.concat(held.out, F.array(n % base)).alias("out"))
+
+    none = F.struct(zero.alias("carry"), F.array().cast("array<bigint>").alias("out"))
+    limbs = F.concat(F.array(start % base, F.call_function("div", start, base)), F.array_repeat(zero, 19))
+    limbs = F.aggregate(F.array_repeat(zero, times), limbs, lambda held, _: F.aggregate(held, none, add, lambda end: end.out))
+    padded = F.transform(F.reverse(limbs), lambda limb: F.lpad(limb.cast("string"), 15, "0"))
+    return F.regexp_replace(F.array_join(padded, ""), "^0+", "")
+
+
 def _fixed(number: Column, places: int) -> Column:
-    """A double with so many decimals."""
+    """A double with so many decimals, as C's printf writes it: all digits, `nan`, `-inf` and the sign of a negative zero, too."""
+    d = number.cast("double")
+    x = F.abs(d)
+    whole = F.floor(x if places else F.rint(x))
+    text = whole.cast("string")
+    if places:
+        unit = F.lit(Decimal(1).scaleb(-places)).cast(f"decimal({places + 1},{places})")
+        text = (whole.cast("decimal(19,0)") + _decimals(x - whole.cast("double"), places).cast("decimal(5,0)") * unit).cast("string")
+    # What is far or no number is rare: as a function of an array's element it stays out of the code that is made for each row.
+    tail = "." + "0" * places if places else ""
+    rare = F.transform(F.array(x), lambda v: F.when(F.isnan(v), "nan").when(v == math.inf, "inf").otherwise(F.concat(_far_digits(v), F.lit(tail))))
+    sign = F.when((d < 0) | ((d == 0) & (d.cast("string") == "-0.0")), "-").otherwise("")
+    return F.when(d.isNotNull(), F.concat(sign, F.when(x < 2.0**63, text).otherwise(rare[0])))
+
+
+def _as_written(number: Column, places: int) -> Column:
+    """A double with so many decimals, rounded half to even on the shortest decimals that tell it from others."""
     return F.format_string(f"%.{places}f", F.bround(number, places))
 
 
@@ -29,10 +77,16 @@ def human_bytes(n: Column, places: int = 2) -> Column:
     return out
 
 
-def human_dollars(d: Column) -> Column:
+def dollars(d: Column) -> Column:
+    """`$12.35`; four decimals below a cent. 12.345 is a double above that number, so it is rounded up."""
     return F.when(d < 0.01, F.concat(F.lit("$"), _fixed(d, 4))).otherwise(F.concat(F.lit("$"), _fixed(d, 2)))
 
 
+def human_dollars(d: Column) -> Column:
+    """As dollars, but an amount counts as it is written: 12.345 is a tie, and `$12.34`. Not what printf gives; queries use dollars."""
+    return F.when(d < 0.01, F.concat(F.lit("$"), _as_written(d, 4))).otherwise(F.concat(F.lit("$"), _as_written(d, 2)))
+
+
 def human_rate(r: Column) -> Column:
     out = F.concat(_fixed(r, 0), F.lit("/s"))
     for least, sign in ((1e3, "K"), (1e6, "M"), (1e9, "G")):

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..functions.classes import class_name
 from ..functions.keys import check_prefix, entry_name, has_delimiter, rest_of
 from ..functions.pricing import monthly, prices_of
-from ..functions.text import bar_cells, human_bytes, human_dollars, share_text
+from ..functions.text import bar_cells, dollars, human_bytes, share_text
 from .order import positions
 
 #: What a listing can be sorted by, and whether the largest come first unless asked otherwise.
@@ -130,4 +130,4 @@ def class_mix(objects: DataFrame, prefix: str) -> DataFrame:
 def root_report(objects: DataFrame, region: str, prefix: str = "") -> DataFrame:
     """The listing as a table to print: name, objects ((file) for a file), bytes, monthly cost; in the order of rank."""
     rows = ranked(with_entry_cost(objects, prefix, region), "name")
-    return rows.select("rank", "name", F.when(F.col("is_dir"), F.col("objects").cast("string")).otherwise(F.lit("(file)")).alias("objects"), F.col("bytes"), human_bytes(F.col("bytes")).alias("size"), "cost", human_dollars(F.col("cost")).alias("monthly"))
+    return rows.select("rank", "name", F.when(F.col("is_dir"), F.col("objects").cast("string")).otherwise(F.lit("(file)")).alias("objects"), F.col("bytes"), human_bytes(F.col("bytes")).alias("size"), "cost", dollars(F.col("cost")).alias("monthly"))

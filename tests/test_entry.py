@@ -45,6 +45,14 @@ def test_query(spark, duck, name):
     same(QUERIES[name](spark, DATA), duck.execute(SQL[name]))
 
 
+def test_dollars_of_prices_between_two_decimals(spark, tmp_path):
+    prices = [350.0 * n for n in range(3, 200)] + [70000.0 * n + 35000 for n in range(1, 8)] + [12.345, 1.015, 0.0, -0.0, -350.0, 1e23, 1e30, math.inf, math.nan, None]
+    spark.createDataFrame([(i, p) for i, p in enumerate(prices, 1)], "o_orderkey long, o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    same(QUERIES["human_dollars"](spark, str(tmp_path)), c.execute(SQL["human_dollars"]))
+
+
 def test_contract(spark):
     assert entry.entry(spark).columns == ["rank", "name", "objects", "bytes", "size", "cost", "monthly"]
     assert entry.entry(spark).count() > 0

@@ -39,6 +39,20 @@ def test_numbers(spark):
     assert [one(spark, text.truncated(F.lit("añb…d"), w)) for w in (9, 5, 3, 1, 0)] == ["añb…d", "añb…d", "añ…", "…", "…"]
 
 
+def test_decimals_as_printf_writes_them(spark):
+    halves = [(n + 0.5) / 10**p for p in (1, 2, 4) for n in (0, 1, 2, 7, 99, 101, 1234, 999999)]
+    values = [*halves, *(-v for v in halves), *(math.nextafter(v, to) for v in halves for to in (0.0, math.inf))]
+    values += [12.345, 1.015, 105000 / 7e8, 1050 / 7e6, 0.995, 0.9999999, 9.995, 0.01, 0.0099999, 0.0, -0.0, -1e-9, 5e-324]
+    values += [2.0**53 + 2, 2.0**63, 1e22, 1e23, -1e23, 2.0**126, 1e300, 1.7976931348623157e308, math.inf, -math.inf, math.nan]
+    df = spark.createDataFrame(list(enumerate(values)), "i int, v double")
+    got = df.select("i", text.dollars(F.col("v")).alias("d"), text.human_rate(F.col("v")).alias("r"))
+    want = {i: ("$%.4f" % v if v < 0.01 else "$%.2f" % v, "%.0f/s" % v) for i, v in enumerate(values)}
+    rows = got.collect()
+    assert {r.i: r.d for r in rows} == {i: d for i, (d, _) in want.items()}
+    assert {r.i: r.r for r in rows if values[r.i] < 1e3} == {i: r for i, (_, r) in want.items() if values[i] < 1e3}
+    assert one(spark, text.dollars(F.lit(None).cast("double"))) is None
+
+
 def test_buckets(spark):
     edges = lambda n: next(i for i, top in enumerate((0, 1, 2, 4, 8, 16, 32, 64, 10**9)) if n <= top)
     fans = lambda n: next(i for i, top in enumerate((0, 1, 2, 3, 4, 7, 15, 31, 10**9)) if n <= top)

@@ -120,3 +120,9 @@ def test_plan_pushes_prefix_down(spark, tmp_path):
     df = listing.list_directory(spark.read.schema(OBJECTS).parquet(str(tmp_path / "t")), "foo/")
     plan = df._jdf.queryExecution().toString()
     assert "StringStartsWith(key,foo/)" in plan and "BatchEvalPython" not in plan
+
+
+def test_report_rounds_a_cost_as_it_is(spark):
+    cost = 1.015  # as a double below that number
+    df = table(spark, [("a/x", round(cost / 0.023 * (1 << 30)), 1)])
+    assert [(r.cost, r.monthly) for r in listing.root_report(df, "us-east-1").collect()] == [(cost, "$1.01")]
